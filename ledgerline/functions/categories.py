@@ -12,18 +12,16 @@ UNMAPPED = "Need Mapping"
 
 
 def category_of(
-    text: Column | str,
-    rules: Sequence[tuple[str, str]] = CATEGORY_RULES,
-    default: str = UNMAPPED,
-    ignore_case: bool = False,
+    text: Column | str, rules: Sequence[tuple[str, str]] = CATEGORY_RULES, default: str = UNMAPPED
 ) -> Column:
-    """The category of a free-text product name; NULL and names without any of the words get ``default``."""
+    """The category of a free-text product name; NULL and names without any of the words get ``default``.
+
+    Case counts, unless the column has a collation that ignores it (``sources.ignoring_case``).
+    """
     text = F.col(text) if isinstance(text, str) else text
-    text = F.lower(text) if ignore_case else text
-    words = [(word.lower() if ignore_case else word, category) for word, category in rules]
     # Built from the last rule outwards, so that the first rule ends up outermost.
     return reduce(
         lambda rest, rule: F.when(text.contains(rule[0]), F.lit(rule[1])).otherwise(rest),
-        reversed(words),
+        reversed(rules),
         F.lit(default),
     )

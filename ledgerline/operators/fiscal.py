@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 
 
 def days(calendar: DataFrame, *columns: str) -> DataFrame:
-    """The distinct days, with the given columns.
-
-    No broadcast hint: a calendar has one row per day, which the planner sees in its statistics and broadcasts; if
-    someone passes a calendar that is larger than the broadcast threshold, the join falls back to a shuffle.
-    """
+    """The distinct days, with the given columns. A broadcast hint on the calendar (see ``sources``) carries over."""
     return calendar.select("Date_Value", *columns).distinct()
 
 
@@ -25,19 +21,22 @@ def month_attributes(calendar: DataFrame) -> DataFrame:
     return calendar.select("Fiscal_Month", "Fiscal_Quarter", "Fiscal_Year", "Month_ID").distinct()
 
 
-def anchor_month(revenue: DataFrame, calendar: DataFrame) -> DataFrame:
-    """One row: the last date with non-zero revenue of any type, and its month, Month_ID and fiscal year.
+def name_anchor(last: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The one row of ``last`` with the month, Month_ID and fiscal year of its ``Anchor_Date``.
 
-    Everything after depends on this row, so reading it fails if there is no such date in the calendar rather than
+    Everything after depends on this row, so reading it fails if the date is NULL or not in the calendar rather than
     leave the results silently empty.
     """
-    last = revenue.filter(F.col("Revenue") != 0).agg(F.max("Month").alias("Anchor_Date"))
     found = on_day(last, "Anchor_Date", calendar, "Fiscal_Month", "Month_ID", "Fiscal_Year")
     no_anchor = F.raise_error(F.lit("the last date with revenue is missing from the calendar"))
-    return found.select(
-        "Anchor_Date",
-        *[F.coalesce(name, no_anchor).alias(name) for name in ("Fiscal_Month", "Month_ID", "Fiscal_Year")],
-    )
+    return found.withColumns({
+        name: F.coalesce(name, no_anchor) for name in ("Fiscal_Month", "Month_ID", "Fiscal_Year")
+    })
+
+
+def anchor_month(revenue: DataFrame, calendar: DataFrame) -> DataFrame:
+    """One row: the last date with non-zero revenue of any type, and its month, Month_ID and fiscal year."""
+    return name_anchor(revenue.filter(F.col("Revenue") != 0).agg(F.max("Month").alias("Anchor_Date")), calendar)
 
 
 def anchor_value(anchor: DataFrame, name: str) -> Column:
@@ -45,7 +44,7 @@ def anchor_value(anchor: DataFrame, name: str) -> Column:
 
     All fields are taken from one struct: the subqueries are then identical, whichever field is wanted, and reused.
     """
-    return anchor.select(F.struct("Anchor_Date", "Fiscal_Month", "Month_ID", "Fiscal_Year")).scalar().getField(name)
+    return anchor.select(F.struct("*")).scalar().getField(name)
 
 
 def future_months(calendar: DataFrame, anchor: DataFrame) -> DataFrame:

@@ -18,44 +18,40 @@ INACTIVE = "Inactive"
 DETAIL = ("Account_No", "Product_Category", "Fiscal_Month", "Product", "Opportunity_Status", "Opportunity_Stage")
 
 
-def clean_opportunities(opportunities: DataFrame, ignore_case: bool = False) -> DataFrame:
-    """Opportunities that name a product, with the product's category."""
+def clean_opportunities(opportunities: DataFrame) -> DataFrame:
+    """Opportunities that name a product, with the product's category; other columns are kept as they are."""
     product = F.col("Product")
-    named = (F.lower(product) != NO_PRODUCT.lower()) if ignore_case else (product != NO_PRODUCT)
     first = ("Store_No", "Opportunity_Est_Date", "Product")
-    return opportunities.filter(product.isNotNull() & named).select(
+    return opportunities.filter(product.isNotNull() & (product != NO_PRODUCT)).select(
         F.col("Store_No").alias("Account_No"),
         *first[1:],
-        category_of(product, ignore_case=ignore_case).alias("Product_Category"),
+        category_of(product).alias("Product_Category"),
         *[name for name in opportunities.columns if name not in first],
     )
 
 
 def live_opportunities(
-    opportunities: DataFrame,
-    include_inactive: bool = False,
-    ignore_case: bool = False,
-    amount: T.DataType = MONEY,
+    opportunities: DataFrame, include_inactive: bool = False, amount: T.DataType = MONEY
 ) -> DataFrame:
     """Clean opportunities with a non-zero usage, as a number; text that is not a number counts as no usage.
 
     Unless ``include_inactive``, inactive projects are left out, and with them those without a status.
     """
-    clean = clean_opportunities(opportunities, ignore_case)
-    clean = clean.withColumn("Opportunity_Usage", parse_amount("Opportunity_Usage", amount))
+    clean = clean_opportunities(opportunities)
     if not include_inactive:
-        status = F.lower("Project_Status") if ignore_case else F.col("Project_Status")
-        clean = clean.filter(status != (INACTIVE.lower() if ignore_case else INACTIVE))
-    return clean.filter(F.col("Opportunity_Usage") != 0)
+        clean = clean.filter(F.col("Project_Status") != INACTIVE)
+    return clean.withColumn("Opportunity_Usage", parse_amount("Opportunity_Usage", amount)).filter(
+        F.col("Opportunity_Usage") != 0
+    )
 
 
 def _usage():
     return F.sum("Opportunity_Usage").alias("Opportunity_Usage")
 
 
-def opportunity_monthly(opportunities: DataFrame, calendar: DataFrame, ignore_case: bool = False) -> DataFrame:
+def opportunity_monthly(opportunities: DataFrame, calendar: DataFrame) -> DataFrame:
     """Usage by account, category and the month of the estimate; one row per key, NULL month included."""
-    live = live_opportunities(opportunities, ignore_case=ignore_case)
+    live = live_opportunities(opportunities)
     return on_day(live, "Opportunity_Est_Date", calendar, "Fiscal_Month").groupBy(*KEYS).agg(_usage())
 
 
@@ -71,14 +67,12 @@ def extrapolate(df: DataFrame, inclusive: bool = False) -> DataFrame:
     )
 
 
-def future_opportunities(
-    opportunities: DataFrame, calendar: DataFrame, anchor: DataFrame, ignore_case: bool = False
-) -> DataFrame:
+def future_opportunities(opportunities: DataFrame, calendar: DataFrame, anchor: DataFrame) -> DataFrame:
     """Usage by account, category and month, of estimates after the anchor date and in its fiscal year.
 
     The anchor date is a day: estimates later in the anchor month count.
     """
-    live = live_opportunities(opportunities, ignore_case=ignore_case).filter(
+    live = live_opportunities(opportunities).filter(
         F.col("Opportunity_Est_Date") > anchor_value(anchor, "Anchor_Date")
     )
     dated = on_day(live, "Opportunity_Est_Date", calendar, "Fiscal_Month", "Fiscal_Year", "Month_ID")
@@ -86,10 +80,10 @@ def future_opportunities(
     return in_year.groupBy(*KEYS, "Month_ID").agg(_usage())
 
 
-def opportunity_detail(opportunities: DataFrame, calendar: DataFrame, ignore_case: bool = False) -> DataFrame:
+def opportunity_detail(opportunities: DataFrame, calendar: DataFrame) -> DataFrame:
     """Usage by account, category, month, product, status and stage, inactive projects included; extrapolated with
     the estimate's own month counted in."""
-    live = live_opportunities(opportunities, include_inactive=True, ignore_case=ignore_case)
+    live = live_opportunities(opportunities, include_inactive=True)
     dated = on_day(live, "Opportunity_Est_Date", calendar, "Fiscal_Month")
     return extrapolate(dated.groupBy(*DETAIL).agg(_usage()), inclusive=True)
 

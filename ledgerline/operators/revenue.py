@@ -43,21 +43,19 @@ def bucket_category(
     into: str,
     rules: Sequence[tuple[str, str]] = CATEGORY_RULES,
     default: str = UNMAPPED,
-    ignore_case: bool = False,
 ) -> DataFrame:
-    return df.withColumn(into, category_of(col, rules, default, ignore_case))
+    return df.withColumn(into, category_of(col, rules, default))
 
 
-def revenue_lines(revenue: DataFrame, ignore_case: bool = False) -> DataFrame:
+def revenue_lines(revenue: DataFrame, *more: str) -> DataFrame:
     """Revenue rows in the common vocabulary, with their category and the three measures; nothing summed yet."""
-    lines = bucket_category(rename_revenue(revenue), "Product_Category", "Product_Category", ignore_case=ignore_case)
-    return split_measures(lines).select(*KEYS, *REVENUE_MEASURES)
+    lines = bucket_category(rename_revenue(revenue), "Product_Category", "Product_Category")
+    return split_measures(lines).select(*KEYS, *REVENUE_MEASURES, *more)
 
 
-def revenue_monthly(revenue: DataFrame, ignore_case: bool = False) -> DataFrame:
+def revenue_monthly(revenue: DataFrame) -> DataFrame:
     """The measures by account, date and category. One shuffle, after Spark's map-side partial sums."""
-    lines = revenue_lines(revenue, ignore_case)
-    return lines.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in REVENUE_MEASURES])
+    return revenue_lines(revenue).groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in REVENUE_MEASURES])
 
 
 def align_revenue(revenue: DataFrame, calendar: DataFrame, mode: str = CORRECTED) -> DataFrame:

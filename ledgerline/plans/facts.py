@@ -6,6 +6,7 @@ pieces are usually explained in. ``all_facts_as_written`` keeps the repeated row
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from operator import or_
 
@@ -14,7 +15,14 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.amounts import zero_if_negative
 from ledgerline.functions.months import months_left
-from ledgerline.operators.fiscal import anchor_month, anchor_value, as_array, future_months, on_day
+from ledgerline.operators.fiscal import (
+    anchor_month,
+    anchor_value,
+    as_array,
+    future_months,
+    name_anchor,
+    on_day,
+)
 from ledgerline.operators.forecast import baseline, spread_runrate
 from ledgerline.operators.keys import AS_WRITTEN, CORRECTED, KEYS, check_mode
 from ledgerline.operators.merge import merge_facts, one_row_per_key
@@ -26,7 +34,7 @@ from ledgerline.operators.opportunities import (
     opportunity_monthly,
 )
 from ledgerline.operators.revenue import REVENUE_MEASURES, align_revenue, revenue_lines, revenue_monthly
-from ledgerline.operators.targets import align_targets, rename_targets
+from ledgerline.operators.targets import align_targets
 from ledgerline.schemas import Tables
 
 MEASURES = (
@@ -78,14 +86,20 @@ def runrate_of(tables: Tables, mode: str = CORRECTED) -> DataFrame:
 
 def expectations(tables: Tables, mode: str = CORRECTED) -> DataFrame:
     """Baseline, targets and run-rate."""
-    crowded = "left" if check_mode(mode) else None
-    return merge_facts(baseline_with_targets(tables, mode), runrate_of(tables, mode), crowded=crowded)
+    if not check_mode(mode):
+        return merge_facts(baseline_with_targets(tables), runrate_of(tables))
+    # Merging on one key gives the same rows in any order; the targets, which may crowd on a key, come last.
+    bounded = merge_facts(baseline_of(tables, mode), runrate_of(tables, mode))
+    return merge_facts(bounded, targets_of(tables, mode), crowded="right")
 
 
 def all_facts_joined(tables: Tables, mode: str = CORRECTED) -> DataFrame:
     """Revenue, pipeline, baseline, targets and run-rate by chained full outer joins."""
-    crowded = "right" if check_mode(mode) else None
-    return merge_facts(revenue_with_opportunities(tables, mode), expectations(tables, mode), crowded=crowded)
+    sold = revenue_with_opportunities(tables, mode)
+    if not check_mode(mode):
+        return merge_facts(sold, expectations(tables))
+    bounded = merge_facts(merge_facts(sold, baseline_of(tables, mode)), runrate_of(tables, mode))
+    return merge_facts(bounded, targets_of(tables, mode), crowded="right")
 
 
 def all_facts_as_written(tables: Tables) -> DataFrame:
@@ -93,92 +107,110 @@ def all_facts_as_written(tables: Tables) -> DataFrame:
     return all_facts_joined(tables, AS_WRITTEN)
 
 
-# --- all of them in two shuffles ----------------------------------------------------------------------------------
+# --- all of them, reading each source once ------------------------------------------------------------------------
 
 
-def _contributions(tables: Tables, anchor: DataFrame) -> DataFrame:
-    """Every source row that counts, with the columns its source feeds; ``_from`` names the source."""
-    calendar = tables.calendar
+def _sold(tables: Tables, measures: Sequence[str]) -> DataFrame:
+    """Revenue by key, and the last date with any non-zero revenue in it."""
+    nonzero = F.when(F.col("Revenue") != 0, F.col("Month"))
+    lines = revenue_lines(tables.revenue.withColumn("Last_Date", nonzero), "Last_Date")
+    lines = lines.withColumnRenamed("Fiscal_Month", "Revenue_Date")
+    dated = on_day(lines, "Revenue_Date", tables.calendar, "Fiscal_Month")
+    return dated.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in measures], F.max("Last_Date").alias("Last_Date"))
 
-    lines = revenue_lines(tables.revenue).withColumnRenamed("Fiscal_Month", "Revenue_Date")
-    sold = on_day(lines, "Revenue_Date", calendar, "Fiscal_Month", "Month_ID").select(
-        *KEYS, "Month_ID", *REVENUE_MEASURES, F.lit("revenue").alias("_from")
-    )
 
-    live = on_day(
-        live_opportunities(tables.opportunities), "Opportunity_Est_Date", calendar,
-        "Fiscal_Month", "Fiscal_Year", "Month_ID",
+def _anchor_of_sums(sold: DataFrame, tables: Tables, measures: Sequence[str]) -> DataFrame:
+    """The anchor, taken from the sums by key instead of from the revenue rows.
+
+    It carries the totals of the measures as well. Anchor and main plan then need the very same columns of the sums,
+    so that Spark computes their shuffle once, for both, and reads the revenue table once.
+    """
+    totals = sold.agg(F.max("Last_Date").alias("Anchor_Date"), *[F.sum(m).alias(m) for m in measures])
+    return name_anchor(totals, tables.calendar)
+
+
+def _pipeline(tables: Tables, anchor: DataFrame) -> DataFrame:
+    """Usage by key, in all and of estimates after the anchor date in its fiscal year (NULL if there are none)."""
+    live = live_opportunities(tables.opportunities)
+    dated = on_day(
+        live, "Opportunity_Est_Date", tables.calendar, "Fiscal_Month", "Fiscal_Year", "Month_ID"
     )
     ahead = (F.col("Opportunity_Est_Date") > anchor_value(anchor, "Anchor_Date")) & (
         F.col("Fiscal_Year") == anchor_value(anchor, "Fiscal_Year")
     )
-    pipeline = live.select(
-        *KEYS, "Month_ID", "Opportunity_Usage",
-        F.when(ahead, F.col("Opportunity_Usage")).alias("Ahead"), F.lit("pipeline").alias("_from"),
+    return dated.groupBy(*KEYS, "Month_ID").agg(
+        F.sum("Opportunity_Usage").alias("Opportunity_Usage"),
+        F.sum(F.when(ahead, F.col("Opportunity_Usage"))).alias("Ahead"),
     )
 
-    dated = rename_targets(tables.targets).withColumnRenamed("Fiscal_Month", "Target_Date")
-    goals = on_day(dated, "Target_Date", calendar, "Fiscal_Month", "Month_ID").select(
-        *KEYS, "Month_ID", "Target", F.lit("targets").alias("_from")
-    )
-    return sold.unionByName(pipeline, allowMissingColumns=True).unionByName(goals, allowMissingColumns=True)
 
+def _apart(label: str) -> Column:
+    """Rows with a NULL in the key match nothing: those of one origin belong together, others stay apart."""
+    return F.when(reduce(or_, [F.col(k).isNull() for k in KEYS]), F.lit(label)).alias("_apart")
 
-def _apart(label: Column) -> Column:
-    """Rows with a NULL in the key belong together only if they have the same origin."""
-    return F.when(reduce(or_, [F.col(k).isNull() for k in KEYS]), label)
+
+def _land(
+    sums: DataFrame, label: str, measures: Mapping[str, Column],
+    months: Column, carries: Column, carried_label: str, carried_name: str, carried: Column,
+) -> DataFrame:
+    """Each sum on its own month with its measures and, where ``carries``, on ``months`` with the carried one."""
+    own = F.array(F.col("Fiscal_Month"))
+    names = F.transform(months, lambda month: month["Fiscal_Month"])
+    spread = sums.select(
+        "*", F.posexplode(F.when(carries, F.concat(own, names)).otherwise(own)).alias("_at", "_month")
+    )
+    is_own = F.col("_at") == 0
+    landed = spread.select(
+        "Account_No", F.col("_month").alias("Fiscal_Month"), "Product_Category", is_own.alias("_own"),
+        *[F.when(is_own, column).alias(name) for name, column in measures.items()],
+        F.when(~is_own, carried).alias(carried_name),
+    )
+    apart = F.when(F.col("_own"), _apart(label)).otherwise(_apart(carried_label)).alias("_apart")
+    return landed.select(*[c for c in landed.columns if c != "_own"], apart)
 
 
 def all_facts(tables: Tables) -> DataFrame:
-    """Revenue, pipeline, baseline, targets and run-rate, one row per key.
+    """Revenue, pipeline, baseline, targets and run-rate, one row per key."""
+    return facts_and_anchor(tables)[0]
+
 
-    No joins but the calendar's. The source rows are stacked and summed by key in one shuffle; each sum is then
-    carried forward, within its row, to the future months it counts for; and a second shuffle, of these sums only,
-    adds up what lands on the same key. The second is by account, which serves the later join with the account's
-    attributes as well; an account has at most one row per month and category by then.
+def facts_and_anchor(tables: Tables, measures: Sequence[str] = MEASURES) -> tuple[DataFrame, DataFrame]:
+    """``all_facts`` with the measures wanted, and the anchor it goes by.
+
+    No joins but those with the calendar, and one pass over each source. Each is summed by key; revenue and pipeline
+    sums are carried forward, row by row, to the future months they count for; and a last shuffle of these sums adds
+    up what lands on the same key. That one is by account, which the join with the account's attributes needs
+    anyway; an account has at most one row per source, month and category by then, so none is large.
     """
-    anchor = anchor_of(tables)
+    feeds = {"Baseline": ("Partner_Fee", "Revenue")}
+    needed = {column for m in measures for column in feeds.get(m, (m,))}
+    sold_measures = [m for m in REVENUE_MEASURES if m in needed]
+    sold = _sold(tables, sold_measures)
+    anchor = _anchor_of_sums(sold, tables, sold_measures)
     future = as_array(future_months(tables.calendar, anchor))
 
-    stacked = _contributions(tables, anchor)
-    sums = stacked.groupBy(*KEYS, "Month_ID", _apart(F.col("_from")).alias("_apart")).agg(
-        *[F.sum(m).alias(m) for m in (*REVENUE_MEASURES, "Opportunity_Usage", "Target")],
-        F.sum("Ahead").alias("Ahead"),
-        F.max(F.col("_from") == "revenue").alias("Has_Revenue"),
-    )
-
-    # A sum counts for a future month as baseline, if it is the anchor month's revenue, and as run-rate, if it has
-    # pipeline ahead and its own month has been reached.
-    own_month = F.col("Month_ID")
-    is_anchor = F.col("Has_Revenue") & (F.col("Fiscal_Month") == anchor_value(anchor, "Fiscal_Month"))
-    carried = (
-        sums.withColumns({"_future": future, "_is_anchor": F.coalesce(is_anchor, F.lit(False))})
-        .withColumn("_month", F.explode(F.concat(
-            F.array(F.struct(own_month, F.col("Fiscal_Month"), F.lit(True).alias("Own"))),
-            F.transform(
-                F.filter("_future", lambda month: F.col("_is_anchor") | (
-                    F.col("Ahead").isNotNull() & (month["Month_ID"] >= own_month)
-                )),
-                lambda month: F.struct(
-                    month["Month_ID"].alias("Month_ID"), month["Fiscal_Month"].alias("Fiscal_Month"),
-                    F.lit(False).alias("Own"),
-                ),
-            ),
-        )))
+    # No sum is later than the anchor. Saying so keeps Last_Date in the plan; see _anchor_of_sums.
+    seen = F.col("Last_Date").isNull() | (F.col("Last_Date") <= anchor_value(anchor, "Anchor_Date"))
+    revenue = _land(
+        sold.withColumn("_future", future), "revenue", {m: F.col(m) for m in sold_measures},
+        months=F.col("_future"),
+        carries=(F.col("Fiscal_Month") == anchor_value(anchor, "Fiscal_Month")) & seen,
+        carried_label="baseline", carried_name="Baseline",
+        carried=F.col("Partner_Fee") + F.col("Revenue") if "Baseline" in measures else F.lit(None),
     )
-    own = F.col("_month.Own")
-    usage = F.col("Opportunity_Usage")
-    extrap = months_times_usage(months_left("Fiscal_Month"), usage)
-    reached = ~own & (F.col("_month.Month_ID") >= own_month)
-    landed = carried.select(
-        "Account_No", F.col("_month.Fiscal_Month").alias("Fiscal_Month"), "Product_Category",
-        F.when(own, F.col("_apart")).otherwise(F.concat("_apart", F.lit(", carried"))).alias("_apart"),
-        *[F.when(own, F.col(m)).alias(m) for m in (*REVENUE_MEASURES, "Opportunity_Usage", "Target")],
-        F.when(own, extrap).alias("Opportunity_Extrap"),
-        F.when(~own & F.col("_is_anchor"), F.col("Partner_Fee") + F.col("Revenue")).alias("Baseline"),
-        F.when(reached, zero_if_negative(F.col("Ahead"))).alias("Opportunity_Into_RR"),
+    own_month, usage = F.col("Month_ID"), F.col("Opportunity_Usage")
+    pipeline = _land(
+        _pipeline(tables, anchor).withColumn("_future", future), "pipeline",
+        {"Opportunity_Usage": usage, "Opportunity_Extrap": months_times_usage(months_left("Fiscal_Month"), usage)},
+        months=F.filter("_future", lambda month: month["Month_ID"] >= own_month),
+        carries=F.col("Ahead").isNotNull(),
+        carried_label="runrate", carried_name="Opportunity_Into_RR", carried=zero_if_negative(F.col("Ahead")),
     )
-    totals = landed.repartition("Account_No").groupBy(*KEYS, "_apart").agg(*[F.sum(m).alias(m) for m in MEASURES])
-    return totals.select(*KEYS, *[
-        F.coalesce(m, F.lit(0).cast(totals.schema[m].dataType)).alias(m) for m in MEASURES
+    targets = targets_of(tables).select("*", _apart("targets"))
+
+    landed = revenue.unionByName(pipeline, allowMissingColumns=True).unionByName(targets, allowMissingColumns=True)
+    totals = landed.repartition("Account_No").groupBy(*KEYS, "_apart").agg(*[F.sum(m).alias(m) for m in measures])
+    merged = totals.select(*KEYS, *[
+        F.coalesce(m, F.lit(0).cast(totals.schema[m].dataType)).alias(m) for m in measures
     ])
+    return merged, anchor

@@ -14,7 +14,7 @@ from ledgerline.operators.lookups import SELLER_COLUMNS, STORE_COLUMNS, account_
 from ledgerline.operators.opportunities import clean_opportunities
 from ledgerline.operators.revenue import revenue_lines
 from ledgerline.operators.targets import rename_targets
-from ledgerline.plans.facts import all_facts, anchor_of, future_of
+from ledgerline.plans.facts import anchor_of, facts_and_anchor, future_of
 from ledgerline.schemas import Tables
 
 MONTH = ("Fiscal_Month", "Fiscal_Year", "Month_ID")
@@ -62,10 +62,11 @@ def forecast(tables: Tables) -> DataFrame:
 
     The window runs over month totals, a row per month, never over the facts.
     """
-    last_id = anchor_value(anchor_of(tables), "Month_ID")
     measures = ("Revenue", "Partner_Fee", "Baseline", "Opportunity_Into_RR")
+    merged, anchor = facts_and_anchor(tables, measures)
+    last_id = anchor_value(anchor, "Month_ID")
     monthly = (
-        all_facts(tables).groupBy("Fiscal_Month").agg(*[F.sum(m).alias(m) for m in measures])
+        merged.groupBy("Fiscal_Month").agg(*[F.sum(m).alias(m) for m in measures])
         .join(month_attributes(tables.calendar), "Fiscal_Month")
     )
     is_actual = F.col("Month_ID") <= last_id
@@ -87,7 +88,8 @@ def slices(tables: Tables, by: Sequence[str] = SLICES, measures: Sequence[str] =
     """
     of_account = (*STORE_COLUMNS, *SELLER_COLUMNS)
     of_row = [name for name in by if name not in of_account and name != "Account_No"]
-    dated = all_facts(tables).join(month_attributes(tables.calendar), "Fiscal_Month", "left")
+    merged, _ = facts_and_anchor(tables, measures)
+    dated = merged.join(month_attributes(tables.calendar), "Fiscal_Month", "left")
     by_account = dated.groupBy("Account_No", *of_row).agg(*[F.sum(m).alias(m) for m in measures])
     accounts = account_attributes(tables.stores, tables.sellers)
     attributed = by_account.join(accounts, F.col("Account_No") == F.col("Account"), "left")

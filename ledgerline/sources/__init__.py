@@ -1,14 +1,16 @@
-from ledgerline.sources.calendars import fiscal_calendar
-from ledgerline.sources.catalog import read_tables, tables_from_catalog
+from ledgerline.sources.calendars import fiscal_calendar, small_calendar
+from ledgerline.sources.catalog import ignoring_case, read_tables, tables_from_catalog
 from ledgerline.sources.sinks import write_summary
 from ledgerline.sources.snapshots import previous_week, read_snapshots, weekly_snapshots
 from ledgerline.sources.tpch import tables_from_tpch
 
 __all__ = [
     "fiscal_calendar",
+    "ignoring_case",
     "previous_week",
     "read_snapshots",
     "read_tables",
+    "small_calendar",
     "tables_from_catalog",
     "tables_from_tpch",
     "weekly_snapshots",

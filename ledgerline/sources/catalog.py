@@ -1,12 +1,11 @@
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.schemas import SCHEMAS, Tables
+from ledgerline.sources.calendars import small_calendar
 
 
 def table_names(week: int) -> Tables:
@@ -26,10 +25,15 @@ def _conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
+def _with_small_calendar(*tables: DataFrame) -> Tables:
+    bundle = Tables(*tables)
+    return bundle._replace(calendar=small_calendar(bundle.calendar))
+
+
 def tables_from_catalog(spark: SparkSession, week: int, database: str | None = None) -> Tables:
     """The six tables of ``database``, or of the session's current database."""
     prefix = f"`{database}`." if database else ""
-    return Tables(
+    return _with_small_calendar(
         *[_conform(spark.table(prefix + name), schema) for name, schema in zip(table_names(week), SCHEMAS)]
     )
 
@@ -47,14 +51,26 @@ def read_tables(spark: SparkSession, path: str, week: int, format: str = "parque
             reader = reader.schema(schema)
         return _conform(reader.load(f"{path.rstrip('/')}/{name}"), schema)
 
-    return Tables(*[load(name, schema) for name, schema in zip(table_names(week), SCHEMAS)])
+    return _with_small_calendar(*[load(name, schema) for name, schema in zip(table_names(week), SCHEMAS)])
 
 
-def check_columns(tables: Tables) -> None:
-    """Raise on a table that lacks a column the plans use, naming every one that is missing."""
-    def missing(name: str, df: DataFrame, schema: T.StructType) -> list[str]:
-        return [f"{name}.{f.name}" for f in schema if f.name not in df.columns]
+# Columns whose text the operators compare with fixed words, or that users type.
+_TYPED_TEXT = Tables(
+    revenue=("Revenue_Type", "Product_Category"),
+    opportunities=("Product", "Project_Status", "Opportunity_Status", "Opportunity_Stage"),
+    targets=("Service_Comp_Group",),
+    calendar=(), stores=(), sellers=(),
+)
+
+
+def ignoring_case(tables: Tables) -> Tables:
+    """The tables with a collation that ignores case on the text that users type.
+
+    Spark then compares, searches and groups this text without regard to case in every operator, like a database
+    whose default collation does. Without it, case counts.
+    """
+    return Tables(*[
+        df.withColumns({name: F.collate(name, "UTF8_LCASE") for name in names}) if names else df
+        for df, names in zip(tables, _TYPED_TEXT)
+    ])
 
-    lacking = reduce(list.__add__, map(missing, Tables._fields, tables, SCHEMAS))
-    if lacking:
-        raise ValueError("missing columns: " + ", ".join(lacking))
