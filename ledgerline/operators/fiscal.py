@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -22,44 +22,45 @@ def month_attributes(calendar: DataFrame) -> DataFrame:
 
 
 def name_anchor(last: DataFrame, calendar: DataFrame) -> DataFrame:
-    """The one row of ``last`` with the month, Month_ID and fiscal year of its ``Anchor_Date``.
+    """The one row of ``last`` with the month, Month_ID and fiscal year of its ``Anchor_Date``, and ``Future_Months``:
+    the later months of that year, at most eleven, as an array.
 
     Everything after depends on this row, so reading it fails if the date is NULL or not in the calendar rather than
     leave the results silently empty.
     """
-    found = on_day(last, "Anchor_Date", calendar, "Fiscal_Month", "Month_ID", "Fiscal_Year")
+    months = calendar.groupBy("Fiscal_Year", "Fiscal_Month", "Month_ID").agg(F.max("Date_Value").alias("Last_Day"))
+    years = months.groupBy("Fiscal_Year").agg(
+        F.sort_array(F.collect_list(F.struct("Month_ID", "Fiscal_Month", "Last_Day"))).alias("Months")
+    )
+    found = on_day(last, "Anchor_Date", calendar, "Fiscal_Month", "Month_ID", "Fiscal_Year").join(
+        years, "Fiscal_Year", "left"
+    )
     no_anchor = F.raise_error(F.lit("the last date with revenue is missing from the calendar"))
-    return found.withColumns({
-        name: F.coalesce(name, no_anchor) for name in ("Fiscal_Month", "Month_ID", "Fiscal_Year")
-    })
+    later = F.filter("Months", lambda m: (
+        (m["Last_Day"] > F.col("Anchor_Date")) & (m["Fiscal_Month"] != F.col("Fiscal_Month"))
+    ))
+    return found.select(
+        *last.columns,
+        *[F.coalesce(name, no_anchor).alias(name) for name in ("Fiscal_Month", "Month_ID", "Fiscal_Year")],
+        F.transform(later, lambda m: F.struct(m["Month_ID"].alias("Month_ID"), m["Fiscal_Month"].alias("Fiscal_Month")))
+         .alias("Future_Months"),
+    )
 
 
 def anchor_month(revenue: DataFrame, calendar: DataFrame) -> DataFrame:
-    """One row: the last date with non-zero revenue of any type, and its month, Month_ID and fiscal year."""
+    """One row: the last date with non-zero revenue of any type; see ``name_anchor`` for the other columns."""
     return name_anchor(revenue.filter(F.col("Revenue") != 0).agg(F.max("Month").alias("Anchor_Date")), calendar)
 
 
-def anchor_value(anchor: DataFrame, name: str) -> Column:
-    """A field of the anchor as a scalar subquery. Spark runs it once per query, and raises if it has two rows.
-
-    All fields are taken from one struct: the subqueries are then identical, whichever field is wanted, and reused.
-    """
-    return anchor.select(F.struct("*")).scalar().getField(name)
-
-
-def future_months(calendar: DataFrame, anchor: DataFrame) -> DataFrame:
+def future_months(anchor: DataFrame) -> DataFrame:
     """The months of the anchor's fiscal year that come after the anchor month."""
-    return (
-        calendar.filter(
-            (F.col("Date_Value") > anchor_value(anchor, "Anchor_Date"))
-            & (F.col("Fiscal_Year") == anchor_value(anchor, "Fiscal_Year"))
-            & (F.col("Fiscal_Month") != anchor_value(anchor, "Fiscal_Month"))
-        )
-        .select("Fiscal_Month", "Month_ID")
-        .distinct()
-    )
+    return anchor.select(F.inline("Future_Months"))
 
 
-def as_array(future: DataFrame) -> Column:
-    """The future months as one array value, at most eleven entries, to spread rows over without a join."""
-    return future.agg(F.sort_array(F.collect_list(F.struct("Month_ID", "Fiscal_Month")))).scalar()
+def with_anchor(df: DataFrame, anchor: DataFrame) -> DataFrame:
+    """``df`` with the anchor's columns in the struct ``_anchor``.
+
+    A scalar subquery: Spark runs it once per query however often it is used, and raises if the anchor has two rows,
+    as when the calendar has two names for its day. Always the whole struct, so that all uses are the same subquery.
+    """
+    return df.withColumn("_anchor", anchor.select(F.struct("*")).scalar())

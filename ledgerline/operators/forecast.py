@@ -2,61 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.amounts import zero_if_negative
-from ledgerline.operators.fiscal import anchor_value, as_array, on_day
+from ledgerline.operators.fiscal import on_day, with_anchor
 from ledgerline.operators.keys import COPIES, CORRECTED, check_mode
 from ledgerline.operators.merge import one_row_per_key
 
 
-def _on_months(df: DataFrame, months, *columns) -> DataFrame:
+def _on_months(df: DataFrame, months: Column, *columns) -> DataFrame:
     """Each row once per month of the array ``months``: row by row, with neither a join nor a shuffle."""
     return df.withColumn("_month", F.explode(months)).select(
         "Account_No", F.col("_month.Fiscal_Month").alias("Fiscal_Month"), "Product_Category", *columns
     )
 
 
-def baseline(aligned: DataFrame, anchor: DataFrame, future: DataFrame) -> DataFrame:
+def baseline(aligned: DataFrame, anchor: DataFrame) -> DataFrame:
     """The anchor month's Revenue + Partner_Fee of each account and category, on every future month.
 
     ``aligned`` comes from ``align_revenue``, in either mode.
     """
-    last = aligned.filter(F.col("Fiscal_Month") == anchor_value(anchor, "Fiscal_Month"))
+    last = with_anchor(aligned, anchor).filter(F.col("Fiscal_Month") == F.col("_anchor.Fiscal_Month"))
     amount = (F.col("Partner_Fee") + F.col("Revenue")).alias("Baseline")
     copies = [COPIES] if COPIES in aligned.columns else []
-    return _on_months(last, as_array(future), amount, *copies)
+    return _on_months(last, F.col("_anchor.Future_Months"), amount, *copies)
 
 
-def baseline_average(
-    lines: DataFrame, calendar: DataFrame, anchor: DataFrame, future: DataFrame, months: int = 3
-) -> DataFrame:
+def baseline_average(lines: DataFrame, calendar: DataFrame, anchor: DataFrame, months: int = 3) -> DataFrame:
     """The mean of Revenue + Partner_Fee over the last ``months`` months up to the anchor, on every future month.
 
     A definition of our own: a month without revenue counts as 0, so the divisor is always ``months``. The mean is a
     double. With one month it equals ``baseline``. ``lines`` comes from ``revenue_lines``.
     """
-    last_id = anchor_value(anchor, "Month_ID")
     dated = on_day(lines.withColumnRenamed("Fiscal_Month", "Revenue_Date"), "Revenue_Date", calendar, "Month_ID")
-    window = dated.filter((F.col("Month_ID") <= last_id) & (F.col("Month_ID") > last_id - months))
+    last_id = F.col("_anchor.Month_ID")
+    window = with_anchor(dated, anchor).filter(F.col("Month_ID").between(last_id - months + 1, last_id))
     total = window.groupBy("Account_No", "Product_Category").agg(
         F.sum(F.col("Partner_Fee") + F.col("Revenue")).alias("Total")
     )
-    return _on_months(total, as_array(future), (F.col("Total").cast("double") / months).alias("Baseline"))
+    mean = (F.col("Total").cast("double") / months).alias("Baseline")
+    return _on_months(with_anchor(total, anchor), F.col("_anchor.Future_Months"), mean)
 
 
-def spread_runrate(future_opportunities: DataFrame, future: DataFrame, mode: str = CORRECTED) -> DataFrame:
+def spread_runrate(future_opportunities: DataFrame, anchor: DataFrame, mode: str = CORRECTED) -> DataFrame:
     """The usage of each account, category and estimate month, on every future month from its own on; 0 if negative.
 
     As written, one row per estimate month remains, so that a key can repeat. Corrected mode sums them.
     """
     own = F.col("Month_ID")
-    reached = F.filter(F.col("_future"), lambda month: month["Month_ID"] >= own)
     rows = _on_months(
-        future_opportunities.withColumn("_future", as_array(future)),
-        reached,
+        with_anchor(future_opportunities, anchor),
+        F.filter("_anchor.Future_Months", lambda month: month["Month_ID"] >= own),
         zero_if_negative(F.col("Opportunity_Usage")).alias("Opportunity_Into_RR"),
     )
     return rows if check_mode(mode) else one_row_per_key(rows)
-

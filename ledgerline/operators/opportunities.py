@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from ledgerline.functions.amounts import parse_amount
 from ledgerline.functions.categories import category_of
 from ledgerline.functions.months import months_left
-from ledgerline.operators.fiscal import anchor_value, on_day
+from ledgerline.operators.fiscal import on_day, with_anchor
 from ledgerline.operators.keys import KEYS
 from ledgerline.schemas import MONEY
 
@@ -72,11 +72,10 @@ def future_opportunities(opportunities: DataFrame, calendar: DataFrame, anchor:
 
     The anchor date is a day: estimates later in the anchor month count.
     """
-    live = live_opportunities(opportunities).filter(
-        F.col("Opportunity_Est_Date") > anchor_value(anchor, "Anchor_Date")
-    )
-    dated = on_day(live, "Opportunity_Est_Date", calendar, "Fiscal_Month", "Fiscal_Year", "Month_ID")
-    in_year = dated.filter(F.col("Fiscal_Year") == anchor_value(anchor, "Fiscal_Year"))
+    anchored = with_anchor(live_opportunities(opportunities), anchor)
+    after = anchored.filter(F.col("Opportunity_Est_Date") > F.col("_anchor.Anchor_Date"))
+    dated = on_day(after, "Opportunity_Est_Date", calendar, "Fiscal_Month", "Fiscal_Year", "Month_ID")
+    in_year = dated.filter(F.col("Fiscal_Year") == F.col("_anchor.Fiscal_Year"))
     return in_year.groupBy(*KEYS, "Month_ID").agg(_usage())
 
 

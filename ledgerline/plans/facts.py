@@ -15,14 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.amounts import zero_if_negative
 from ledgerline.functions.months import months_left
-from ledgerline.operators.fiscal import (
-    anchor_month,
-    anchor_value,
-    as_array,
-    future_months,
-    name_anchor,
-    on_day,
-)
+from ledgerline.operators.fiscal import anchor_month, name_anchor, on_day, with_anchor
 from ledgerline.operators.forecast import baseline, spread_runrate
 from ledgerline.operators.keys import AS_WRITTEN, CORRECTED, KEYS, check_mode
 from ledgerline.operators.merge import merge_facts, one_row_per_key
@@ -49,10 +42,6 @@ def anchor_of(tables: Tables) -> DataFrame:
     return anchor_month(tables.revenue, tables.calendar)
 
 
-def future_of(tables: Tables) -> DataFrame:
-    return future_months(tables.calendar, anchor_of(tables))
-
-
 def aligned_revenue(tables: Tables, mode: str = CORRECTED) -> DataFrame:
     as_written = check_mode(mode)
     rows = revenue_monthly(tables.revenue) if as_written else revenue_lines(tables.revenue)
@@ -65,7 +54,7 @@ def revenue_with_opportunities(tables: Tables, mode: str = CORRECTED) -> DataFra
 
 
 def baseline_of(tables: Tables, mode: str = CORRECTED) -> DataFrame:
-    return baseline(aligned_revenue(tables, mode), anchor_of(tables), future_of(tables))
+    return baseline(aligned_revenue(tables, mode), anchor_of(tables))
 
 
 def targets_of(tables: Tables, mode: str = CORRECTED) -> DataFrame:
@@ -80,8 +69,8 @@ def baseline_with_targets(tables: Tables, mode: str = CORRECTED) -> DataFrame:
 
 
 def runrate_of(tables: Tables, mode: str = CORRECTED) -> DataFrame:
-    future = future_opportunities(tables.opportunities, tables.calendar, anchor_of(tables))
-    return spread_runrate(future, future_of(tables), mode)
+    anchor = anchor_of(tables)
+    return spread_runrate(future_opportunities(tables.opportunities, tables.calendar, anchor), anchor, mode)
 
 
 def expectations(tables: Tables, mode: str = CORRECTED) -> DataFrame:
@@ -132,13 +121,11 @@ def _anchor_of_sums(sold: DataFrame, tables: Tables, measures: Sequence[str]) ->
 def _pipeline(tables: Tables, anchor: DataFrame) -> DataFrame:
     """Usage by key, in all and of estimates after the anchor date in its fiscal year (NULL if there are none)."""
     live = live_opportunities(tables.opportunities)
-    dated = on_day(
-        live, "Opportunity_Est_Date", tables.calendar, "Fiscal_Month", "Fiscal_Year", "Month_ID"
-    )
-    ahead = (F.col("Opportunity_Est_Date") > anchor_value(anchor, "Anchor_Date")) & (
-        F.col("Fiscal_Year") == anchor_value(anchor, "Fiscal_Year")
+    dated = on_day(live, "Opportunity_Est_Date", tables.calendar, "Fiscal_Month", "Fiscal_Year", "Month_ID")
+    ahead = (F.col("Opportunity_Est_Date") > F.col("_anchor.Anchor_Date")) & (
+        F.col("Fiscal_Year") == F.col("_anchor.Fiscal_Year")
     )
-    return dated.groupBy(*KEYS, "Month_ID").agg(
+    return with_anchor(dated, anchor).groupBy(*KEYS, "Month_ID").agg(
         F.sum("Opportunity_Usage").alias("Opportunity_Usage"),
         F.sum(F.when(ahead, F.col("Opportunity_Usage"))).alias("Ahead"),
     )
@@ -187,22 +174,21 @@ def facts_and_anchor(tables: Tables, measures: Sequence[str] = MEASURES) -> tupl
     sold_measures = [m for m in REVENUE_MEASURES if m in needed]
     sold = _sold(tables, sold_measures)
     anchor = _anchor_of_sums(sold, tables, sold_measures)
-    future = as_array(future_months(tables.calendar, anchor))
 
     # No sum is later than the anchor. Saying so keeps Last_Date in the plan; see _anchor_of_sums.
-    seen = F.col("Last_Date").isNull() | (F.col("Last_Date") <= anchor_value(anchor, "Anchor_Date"))
+    seen = F.col("Last_Date").isNull() | (F.col("Last_Date") <= F.col("_anchor.Anchor_Date"))
     revenue = _land(
-        sold.withColumn("_future", future), "revenue", {m: F.col(m) for m in sold_measures},
-        months=F.col("_future"),
-        carries=(F.col("Fiscal_Month") == anchor_value(anchor, "Fiscal_Month")) & seen,
+        with_anchor(sold, anchor), "revenue", {m: F.col(m) for m in sold_measures},
+        months=F.col("_anchor.Future_Months"),
+        carries=(F.col("Fiscal_Month") == F.col("_anchor.Fiscal_Month")) & seen,
         carried_label="baseline", carried_name="Baseline",
         carried=F.col("Partner_Fee") + F.col("Revenue") if "Baseline" in measures else F.lit(None),
     )
     own_month, usage = F.col("Month_ID"), F.col("Opportunity_Usage")
     pipeline = _land(
-        _pipeline(tables, anchor).withColumn("_future", future), "pipeline",
+        with_anchor(_pipeline(tables, anchor), anchor), "pipeline",
         {"Opportunity_Usage": usage, "Opportunity_Extrap": months_times_usage(months_left("Fiscal_Month"), usage)},
-        months=F.filter("_future", lambda month: month["Month_ID"] >= own_month),
+        months=F.filter("_anchor.Future_Months", lambda month: month["Month_ID"] >= own_month),
         carries=F.col("Ahead").isNotNull(),
         carried_label="runrate", carried_name="Opportunity_Into_RR", carried=zero_if_negative(F.col("Ahead")),
     )

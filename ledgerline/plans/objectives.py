@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.amounts import parse_amount
-from ledgerline.operators.fiscal import anchor_value, month_attributes, on_day
+from ledgerline.operators.fiscal import month_attributes, on_day, with_anchor
 from ledgerline.operators.forecast import baseline_average
 from ledgerline.operators.lookups import SELLER_COLUMNS, STORE_COLUMNS, account_attributes
 from ledgerline.operators.opportunities import clean_opportunities
 from ledgerline.operators.revenue import revenue_lines
 from ledgerline.operators.targets import rename_targets
-from ledgerline.plans.facts import anchor_of, facts_and_anchor, future_of
+from ledgerline.plans.facts import anchor_of, facts_and_anchor
 from ledgerline.schemas import Tables
 
 MONTH = ("Fiscal_Month", "Fiscal_Year", "Month_ID")
@@ -64,17 +64,16 @@ def forecast(tables: Tables) -> DataFrame:
     """
     measures = ("Revenue", "Partner_Fee", "Baseline", "Opportunity_Into_RR")
     merged, anchor = facts_and_anchor(tables, measures)
-    last_id = anchor_value(anchor, "Month_ID")
     monthly = (
         merged.groupBy("Fiscal_Month").agg(*[F.sum(m).alias(m) for m in measures])
         .join(month_attributes(tables.calendar), "Fiscal_Month")
     )
-    is_actual = F.col("Month_ID") <= last_id
+    is_actual = F.col("Month_ID") <= F.col("_anchor.Month_ID")
     amount = F.when(is_actual, F.col("Revenue") + F.col("Partner_Fee")).otherwise(
         F.col("Baseline") + F.col("Opportunity_Into_RR")
     )
     so_far = Window.partitionBy("Fiscal_Year").orderBy("Month_ID").rowsBetween(Window.unboundedPreceding, 0)
-    return monthly.select(
+    return with_anchor(monthly, anchor).select(
         *MONTH, F.when(is_actual, "Actual").otherwise("Forecast").alias("Kind"), amount.alias("Amount")
     ).withColumn("Year_To_Date", F.sum("Amount").over(so_far))
 
@@ -98,9 +97,7 @@ def slices(tables: Tables, by: Sequence[str] = SLICES, measures: Sequence[str] =
 
 
 def average_baseline(tables: Tables, months: int = 3) -> DataFrame:
-    return baseline_average(
-        revenue_lines(tables.revenue), tables.calendar, anchor_of(tables), future_of(tables), months
-    )
+    return baseline_average(revenue_lines(tables.revenue), tables.calendar, anchor_of(tables), months)
 
 
 # --- changes week on week -----------------------------------------------------------------------------------------

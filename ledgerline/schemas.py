@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from typing import NamedTuple
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -34,8 +34,22 @@ STORES = _schema(
 SELLERS = _schema(Store_ID=_key, General_Seller=_text, Services_Seller=_text, Product_Seller=_text)
 
 
-class Tables(NamedTuple):
-    """The inputs of the two reporting views."""
+SCHEMAS = {
+    "revenue": REVENUE,
+    "opportunities": OPPORTUNITIES,
+    "targets": TARGETS,
+    "calendar": CALENDAR,
+    "stores": STORES,
+    "sellers": SELLERS,
+}
+
+
+class Tables:
+    """The inputs of the plans, under the names in ``SCHEMAS``.
+
+    Each is a DataFrame, or a function that returns one and is called at first use: opening a table costs a look at
+    its files, and most plans need only some.
+    """
 
     revenue: DataFrame
     opportunities: DataFrame
@@ -44,5 +58,16 @@ class Tables(NamedTuple):
     stores: DataFrame
     sellers: DataFrame
 
+    def __init__(self, **sources: DataFrame | Callable[[], DataFrame]):
+        if sources.keys() != SCHEMAS.keys():
+            raise TypeError(f"Tables takes {', '.join(SCHEMAS)}; got {', '.join(sources) or 'nothing'}")
+        self._sources = sources
 
-SCHEMAS = Tables(REVENUE, OPPORTUNITIES, TARGETS, CALENDAR, STORES, SELLERS)
+    def __getattr__(self, name: str) -> DataFrame:
+        # Only called for tables that have not been opened yet.
+        if name not in SCHEMAS:
+            raise AttributeError(name)
+        source = self._sources[name]
+        df = source() if callable(source) else source
+        setattr(self, name, df)
+        return df

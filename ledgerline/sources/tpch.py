@@ -9,6 +9,7 @@ accounts without a store or a seller.
 from __future__ import annotations
 
 from datetime import date
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -129,15 +130,15 @@ def sellers(customer: DataFrame) -> DataFrame:
 
 
 def tables_from_tpch(spark: SparkSession, path: str) -> Tables:
+    @cache
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{path}/{name}.parquet")
 
-    orders, customer = read("orders"), read("customer")
     return Tables(
-        revenue=revenue(read("lineitem"), orders, read("part")),
-        opportunities=opportunities(orders),
-        targets=targets(orders),
-        calendar=fiscal_calendar(spark, CALENDAR_START, CALENDAR_END),
-        stores=stores(customer, read("nation"), read("region")),
-        sellers=sellers(customer),
+        revenue=lambda: revenue(read("lineitem"), read("orders"), read("part")),
+        opportunities=lambda: opportunities(read("orders")),
+        targets=lambda: targets(read("orders")),
+        calendar=lambda: fiscal_calendar(spark, CALENDAR_START, CALENDAR_END),
+        stores=lambda: stores(read("customer"), read("nation"), read("region")),
+        sellers=lambda: sellers(read("customer")),
     )

@@ -38,7 +38,8 @@ def test_fiscal_calendar(spark):
 
 
 def test_derived_tables_have_the_declared_columns_and_types(tiny):
-    for df, schema in zip(tiny, SCHEMAS):
+    for table, schema in SCHEMAS.items():
+        df = getattr(tiny, table)
         assert df.columns == schema.names
         for field in schema:
             if field.name != "Target":  # a sum, and so a wider decimal
@@ -47,8 +48,8 @@ def test_derived_tables_have_the_declared_columns_and_types(tiny):
 
 @pytest.mark.parametrize("format", ["parquet", "orc", "json", "csv"])
 def test_tables_can_be_read_back(spark, some, tmp_path, format):
-    for df, name in zip(some, table_names(25)):
-        writer = df.write.format(format)
+    for table, name in table_names(25).items():
+        writer = getattr(some, table).write.format(format)
         (writer.option("header", True) if format == "csv" else writer).save(str(tmp_path / name))
     back = read_tables(spark, str(tmp_path), week=25, format=format)
     assert bag(summaries.revenue_summary(back)) == bag(summaries.revenue_summary(some))
@@ -56,8 +57,8 @@ def test_tables_can_be_read_back(spark, some, tmp_path, format):
 
 def test_tables_from_a_database_and_views(spark, some):
     spark.sql("create database if not exists sales")
-    for df, name in zip(some, table_names(25)):
-        df.write.mode("overwrite").saveAsTable(f"sales.{name}")
+    for table, name in table_names(25).items():
+        getattr(some, table).write.mode("overwrite").saveAsTable(f"sales.{name}")
     stored = tables_from_catalog(spark, week=25, database="sales")
     names = summaries.create_views(spark, stored, prefix="report_")
     assert names == ["report_Revenue_Summary", "report_Opportunity_Summary"]
@@ -92,11 +93,28 @@ def test_snapshots_by_week(spark, some, tmp_path):
 
 def test_case_counts_unless_told_otherwise(make):
     t = make([sale(1, JAN, 5, "ACTUALS", "service desk"), sale(1, JAN, 6, "Actuals", "Service")],
-             [opp(1, date(2019, 3, 3), "7", "SUPPORT", "inactive"), opp(1, date(2019, 3, 3), "8", "null")])
-    columns = ("Product_Category", "Revenue", "Opportunity_Usage")
+             [opp(1, date(2019, 3, 3), "7", "SUPPORT", "inactive"), opp(1, date(2019, 3, 3), "8", "null")],
+             [goal(1, JAN, 3, "SERVICES"), goal(1, JAN, 4, "Other")])
+    columns = ("Product_Category", "Revenue", "Target")
     january = F.col("Fiscal_Month") == "January, 2019"
-    assert bag(facts.all_facts(t).filter(january), *columns) == [("Need Mapping", 0, 0), ("Services", 6, 0)]
+    assert bag(facts.all_facts(t).filter(january), *columns) == [
+        ("Need Mapping", 0, 0), ("Other", 0, 4), ("SERVICES", 0, 3), ("Services", 6, 0),
+    ]
     folded = ignoring_case(t)
-    assert isinstance(folded, Tables)
-    assert bag(facts.all_facts(folded).filter(january), *columns) == [("Services", 11, 0)]
-    assert bag(facts.all_facts(folded).filter("Opportunity_Usage <> 0")) == []
+    for plan in (facts.all_facts, facts.all_facts_joined):
+        assert bag(plan(folded).filter(january), *columns) == [("Other", 0, 4), ("Services", 11, 3)]
+        assert bag(plan(folded).filter("Opportunity_Usage <> 0")) == []
+    assert summaries.opportunity_summary(t).count() == 2
+    assert summaries.opportunity_summary(folded).count() == 1
+
+
+def test_tables_open_at_first_use(make):
+    opened = []
+    parts = {name: (lambda name=name: opened.append(name) or getattr(make(), name)) for name in SCHEMAS}
+    tables = Tables(**parts)
+    assert opened == []
+    assert tables.stores is tables.stores and opened == ["stores"]
+    with pytest.raises(TypeError):
+        Tables(revenue=tables.stores)
+    with pytest.raises(AttributeError):
+        tables.nothing
