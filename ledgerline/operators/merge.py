@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,8 +64,15 @@ def merge_facts(
     if crowded is None:
         return a.join(b, same_key, "full").select(*columns)
 
-    matched = b.join(a, same_key, "left").select(*columns)
-    alone = left.join(right.select(*keys).distinct(), list(keys), "left_anti").alias("a")
+    # One key column that is never NULL: a key with a NULL in it is labelled by side, and so still matches nothing.
+    # Without NULLs to filter, both joins take the left side as it is, and Spark shuffles it once for the two.
+    def keyed(df: DataFrame, side: str) -> DataFrame:
+        has_null = reduce(or_, [F.col(k).isNull() for k in keys])
+        return df.withColumn("_key", F.struct(*keys, F.when(has_null, F.lit(side)).alias("_side")))
+
+    a, b = keyed(left, "left").alias("a"), keyed(right, "right").alias("b")
+    matched = b.join(a, F.col("a._key") == F.col("b._key"), "left").select(*columns)
+    alone = a.join(b.select("_key").distinct(), "_key", "left_anti").alias("a")
     zeros = [F.lit(0).cast(right.schema[m].dataType).alias(m) for m in _measures(right, keys)]
     copies = [_copies("a", left).alias(COPIES)] if with_copies else []
     own = [_or_zero("a", left, m) for m in _measures(left, keys)]

@@ -1,7 +1,8 @@
-"""All facts on one key, in three ways that agree where they should.
+"""All facts on one key.
 
-``all_facts`` is the plan to use. ``all_facts_joined`` is the same result by chained full outer joins, the form the
-pieces are usually explained in. ``all_facts_as_written`` keeps the repeated rows that corrected mode removes.
+``all_facts`` is the plan to use; ``all_facts_as_written`` keeps the repeated rows that corrected mode removes.
+``all_facts_joined`` gives the results of either by chained full outer joins of the pieces, the form in which they are
+usually explained; it reads revenue once per piece that needs it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from ledgerline.functions.amounts import zero_if_negative
 from ledgerline.functions.months import months_left
 from ledgerline.operators.fiscal import anchor_month, name_anchor, on_day, with_anchor
 from ledgerline.operators.forecast import baseline, spread_runrate
-from ledgerline.operators.keys import AS_WRITTEN, CORRECTED, KEYS, check_mode
+from ledgerline.operators.keys import AS_WRITTEN, COPIES, CORRECTED, KEYS, check_mode
 from ledgerline.operators.merge import merge_facts, one_row_per_key
 from ledgerline.operators.opportunities import (
     extrapolate,
@@ -91,21 +92,17 @@ def all_facts_joined(tables: Tables, mode: str = CORRECTED) -> DataFrame:
     return merge_facts(bounded, targets_of(tables, mode), crowded="right")
 
 
-def all_facts_as_written(tables: Tables) -> DataFrame:
-    """The facts with ``Copies``: how many times each row stands in the result."""
-    return all_facts_joined(tables, AS_WRITTEN)
-
-
 # --- all of them, reading each source once ------------------------------------------------------------------------
 
 
-def _sold(tables: Tables, measures: Sequence[str]) -> DataFrame:
-    """Revenue by key, and the last date with any non-zero revenue in it."""
+def _sold(tables: Tables, measures: Sequence[str], as_written: bool) -> DataFrame:
+    """Revenue by account, month and category, and the last date with any non-zero revenue in it."""
     nonzero = F.when(F.col("Revenue") != 0, F.col("Month"))
     lines = revenue_lines(tables.revenue.withColumn("Last_Date", nonzero), "Last_Date")
-    lines = lines.withColumnRenamed("Fiscal_Month", "Revenue_Date")
-    dated = on_day(lines, "Revenue_Date", tables.calendar, "Fiscal_Month")
-    return dated.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in measures], F.max("Last_Date").alias("Last_Date"))
+    if not as_written:
+        lines = lines.withColumnRenamed("Fiscal_Month", "Revenue_Date")
+        lines = on_day(lines, "Revenue_Date", tables.calendar, "Fiscal_Month")
+    return lines.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in measures], F.max("Last_Date").alias("Last_Date"))
 
 
 def _anchor_of_sums(sold: DataFrame, tables: Tables, measures: Sequence[str]) -> DataFrame:
@@ -131,16 +128,16 @@ def _pipeline(tables: Tables, anchor: DataFrame) -> DataFrame:
     )
 
 
-def _apart(label: str) -> Column:
+def _apart(label: Column) -> Column:
     """Rows with a NULL in the key match nothing: those of one origin belong together, others stay apart."""
-    return F.when(reduce(or_, [F.col(k).isNull() for k in KEYS]), F.lit(label)).alias("_apart")
+    return F.when(reduce(or_, [F.col(k).isNull() for k in KEYS]), label).alias("_apart")
 
 
 def _land(
-    sums: DataFrame, label: str, measures: Mapping[str, Column],
-    months: Column, carries: Column, carried_label: str, carried_name: str, carried: Column,
+    sums: DataFrame, label: Column, measures: Mapping[str, Column],
+    months: Column, carries: Column, carried_label: str, carried: Mapping[str, Column],
 ) -> DataFrame:
-    """Each sum on its own month with its measures and, where ``carries``, on ``months`` with the carried one."""
+    """Each sum on its own month with ``measures`` and, where it ``carries``, on ``months`` with ``carried``."""
     own = F.array(F.col("Fiscal_Month"))
     names = F.transform(months, lambda month: month["Fiscal_Month"])
     spread = sums.select(
@@ -148,55 +145,86 @@ def _land(
     )
     is_own = F.col("_at") == 0
     landed = spread.select(
-        "Account_No", F.col("_month").alias("Fiscal_Month"), "Product_Category", is_own.alias("_own"),
+        "Account_No", F.col("_month").alias("Fiscal_Month"), "Product_Category",
+        F.when(is_own, label).otherwise(F.lit(carried_label)).alias("_label"),
         *[F.when(is_own, column).alias(name) for name, column in measures.items()],
-        F.when(~is_own, carried).alias(carried_name),
+        *[F.when(~is_own, column).alias(name) for name, column in carried.items()],
     )
-    apart = F.when(F.col("_own"), _apart(label)).otherwise(_apart(carried_label)).alias("_apart")
-    return landed.select(*[c for c in landed.columns if c != "_own"], apart)
-
-
-def all_facts(tables: Tables) -> DataFrame:
-    """Revenue, pipeline, baseline, targets and run-rate, one row per key."""
-    return facts_and_anchor(tables)[0]
+    return landed.select(*[c for c in landed.columns if c != "_label"], _apart(F.col("_label")))
 
 
-def facts_and_anchor(tables: Tables, measures: Sequence[str] = MEASURES) -> tuple[DataFrame, DataFrame]:
-    """``all_facts`` with the measures wanted, and the anchor it goes by.
-
-    No joins but those with the calendar, and one pass over each source. Each is summed by key; revenue and pipeline
-    sums are carried forward, row by row, to the future months they count for; and a last shuffle of these sums adds
-    up what lands on the same key. That one is by account, which the join with the account's attributes needs
-    anyway; an account has at most one row per source, month and category by then, so none is large.
-    """
+def _landed(tables: Tables, measures: Sequence[str], as_written: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Revenue and pipeline sums on the months they count for, own and future, not yet added up; and the anchor."""
     feeds = {"Baseline": ("Partner_Fee", "Revenue")}
     needed = {column for m in measures for column in feeds.get(m, (m,))}
     sold_measures = [m for m in REVENUE_MEASURES if m in needed]
-    sold = _sold(tables, sold_measures)
+    sold = _sold(tables, sold_measures, as_written)
     anchor = _anchor_of_sums(sold, tables, sold_measures)
 
+    own = {m: F.col(m) for m in sold_measures}
+    carried = {"Baseline": F.col("Partner_Fee") + F.col("Revenue")} if "Baseline" in measures else {}
+    label = F.lit("revenue")
+    if as_written:
+        sold = align_revenue(sold.withColumn("Revenue_Date", F.col("Fiscal_Month")), tables.calendar, AS_WRITTEN)
+        own["Sold_Copies"] = carried["Baseline_Copies"] = F.col(COPIES)
+        label = F.concat(label, F.lit(" "), F.col("Revenue_Date").cast("string"))
     # No sum is later than the anchor. Saying so keeps Last_Date in the plan; see _anchor_of_sums.
     seen = F.col("Last_Date").isNull() | (F.col("Last_Date") <= F.col("_anchor.Anchor_Date"))
     revenue = _land(
-        with_anchor(sold, anchor), "revenue", {m: F.col(m) for m in sold_measures},
+        with_anchor(sold, anchor), label, own,
         months=F.col("_anchor.Future_Months"),
         carries=(F.col("Fiscal_Month") == F.col("_anchor.Fiscal_Month")) & seen,
-        carried_label="baseline", carried_name="Baseline",
-        carried=F.col("Partner_Fee") + F.col("Revenue") if "Baseline" in measures else F.lit(None),
+        carried_label="baseline", carried=carried,
     )
     own_month, usage = F.col("Month_ID"), F.col("Opportunity_Usage")
     pipeline = _land(
-        with_anchor(_pipeline(tables, anchor), anchor), "pipeline",
+        with_anchor(_pipeline(tables, anchor), anchor), F.lit("pipeline"),
         {"Opportunity_Usage": usage, "Opportunity_Extrap": months_times_usage(months_left("Fiscal_Month"), usage)},
         months=F.filter("_anchor.Future_Months", lambda month: month["Month_ID"] >= own_month),
         carries=F.col("Ahead").isNotNull(),
-        carried_label="runrate", carried_name="Opportunity_Into_RR", carried=zero_if_negative(F.col("Ahead")),
+        carried_label="runrate", carried={"Opportunity_Into_RR": zero_if_negative(F.col("Ahead"))},
+    )
+    return revenue.unionByName(pipeline, allowMissingColumns=True), anchor
+
+
+def _or_zero(df: DataFrame, measures: Sequence[str]) -> list[Column]:
+    return [F.coalesce(m, F.lit(0).cast(df.schema[m].dataType)).alias(m) for m in measures]
+
+
+def all_facts(tables: Tables) -> DataFrame:
+    """Revenue, pipeline, baseline, targets and run-rate, one row per key."""
+    return facts_and_anchor(tables)[0]
+
+
+def facts_and_anchor(tables: Tables, measures: Sequence[str] = MEASURES) -> tuple[DataFrame, DataFrame]:
+    """``all_facts`` with the measures wanted, and the anchor it goes by.
+
+    No joins but those with the calendar, and one pass over each source. Each is summed by key; revenue and pipeline
+    sums are carried forward, row by row, to the future months they count for; and a last shuffle of these sums adds
+    up what lands on the same key. That one is by account, which the join with the account's attributes needs
+    anyway; an account has at most one row per source, month and category by then, so none is large.
+    """
+    landed, anchor = _landed(tables, measures)
+    targets = targets_of(tables).select("*", _apart(F.lit("targets")))
+    stacked = landed.unionByName(targets, allowMissingColumns=True)
+    totals = stacked.repartition("Account_No").groupBy(*KEYS, "_apart").agg(*[F.sum(m).alias(m) for m in measures])
+    return totals.select(*KEYS, *_or_zero(totals, measures)), anchor
+
+
+def all_facts_as_written(tables: Tables) -> DataFrame:
+    """The facts with ``Copies``: how many times each row stands in the result.
+
+    Built like ``all_facts``. On a key there is at most one row each of revenue, pipeline and baseline, and a
+    run-rate row for every estimate month, at most one per month of a fiscal year: these are listed while the others
+    are put side by side, and then taken out of the list again. Nothing limits the targets on a key; they come last.
+    """
+    landed, _ = _landed(tables, MEASURES, as_written=True)
+    single = [m for m in MEASURES if m not in ("Target", "Opportunity_Into_RR")]
+    side_by_side = landed.groupBy(*KEYS, "_apart").agg(
+        *[F.sum(m).alias(m) for m in single],
+        (F.coalesce(F.max("Sold_Copies"), F.lit(1)) * F.coalesce(F.max("Baseline_Copies"), F.lit(1))).alias(COPIES),
+        F.collect_list("Opportunity_Into_RR").alias("Runrates"),
     )
-    targets = targets_of(tables).select("*", _apart("targets"))
-
-    landed = revenue.unionByName(pipeline, allowMissingColumns=True).unionByName(targets, allowMissingColumns=True)
-    totals = landed.repartition("Account_No").groupBy(*KEYS, "_apart").agg(*[F.sum(m).alias(m) for m in measures])
-    merged = totals.select(*KEYS, *[
-        F.coalesce(m, F.lit(0).cast(totals.schema[m].dataType)).alias(m) for m in measures
-    ])
-    return merged, anchor
+    rows = side_by_side.withColumn("Opportunity_Into_RR", F.explode_outer("Runrates"))
+    bounded = rows.select(*KEYS, *_or_zero(rows, [*single, "Opportunity_Into_RR"]), COPIES)
+    return merge_facts(bounded, targets_of(tables, AS_WRITTEN), crowded="right").select(*KEYS, *MEASURES, COPIES)

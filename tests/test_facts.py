@@ -93,8 +93,13 @@ GOALS = st.lists(st.builds(goal, STORES, DAYS, st.integers(0, 9), st.sampled_fro
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(sales=SALES, opps=OPPS, goals=GOALS)
-def test_one_pass_plan_equals_the_chain_of_full_joins(make, sales, opps, goals):
+def test_one_pass_plans_equal_the_chains_of_full_joins(make, sales, opps, goals):
     # January 2019 is the anchor: other dates have to be earlier, or without revenue.
     fixed = [s | {"Revenue": 0} if s["Month"] is None or s["Month"] > date(2019, 1, 31) else s for s in sales]
     t = make([*fixed, sale(9, date(2019, 1, 20), 1)], opps, goals)
     assert bag(facts.all_facts(t)) == bag(facts.all_facts_joined(t))
+
+    def repeated(df):
+        return bag(expand_copies(df).select(*KEYS, *facts.MEASURES))
+
+    assert repeated(facts.all_facts_as_written(t)) == repeated(facts.all_facts_joined(t, AS_WRITTEN))
