@@ -17,7 +17,11 @@ def account_attributes(stores: DataFrame, sellers: DataFrame) -> DataFrame:
     """Store and seller attributes, one row per account; reading it fails if a lookup has an account twice.
 
     The two are stacked and grouped rather than joined: one shuffle of the lookups both brings them together and
-    checks them, and leaves them partitioned by account for the join with the facts, which then is one join, not two.
+    checks them, and the facts need one join instead of two.
+
+    They are grouped by the account in a struct, which a join by account does not take for its own partitioning. The
+    join so shuffles the grouped accounts once more, and only then, with a plain shuffle on both of its sides, can
+    Spark split an account that holds a large share of the facts.
     """
     store = stores.select(
         F.col("AccountNo").alias("Account"), F.col("Store").alias("Account_Name"),
@@ -27,14 +31,16 @@ def account_attributes(stores: DataFrame, sellers: DataFrame) -> DataFrame:
     grouped = (
         store.unionByName(seller, allowMissingColumns=True)
         .filter(F.col("Account").isNotNull())
-        .groupBy("Account")
+        .groupBy(F.struct("Account").alias("_key"))
         .agg(
             *[F.max(name).alias(name) for name in (*STORE_COLUMNS, *SELLER_COLUMNS)],
             F.greatest(F.sum("_stores"), F.sum("_sellers")).alias("_rows"),
         )
     )
-    twice = F.raise_error(F.concat(F.lit("account more than once in a lookup: "), F.col("Account").cast("string")))
-    return grouped.filter(F.when(F.col("_rows") == 1, F.lit(True)).otherwise(twice.cast("boolean"))).drop("_rows")
+    account = F.col("_key.Account")
+    twice = F.raise_error(F.concat(F.lit("account more than once in a lookup: "), account.cast("string")))
+    once = grouped.filter(F.when(F.col("_rows") == 1, F.lit(True)).otherwise(twice.cast("boolean")))
+    return once.select(account.alias("Account"), *STORE_COLUMNS, *SELLER_COLUMNS)
 
 
 def add_lookups(df: DataFrame, calendar: DataFrame, stores: DataFrame, sellers: DataFrame) -> DataFrame:
