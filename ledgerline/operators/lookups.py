@@ -13,34 +13,27 @@ SELLER_COLUMNS = ("General_Seller", "Services_Seller", "Product_Seller")
 MONTH_COLUMNS = ("Fiscal_Quarter", "Fiscal_Year", "Month_ID")
 
 
-def account_attributes(stores: DataFrame, sellers: DataFrame) -> DataFrame:
-    """Store and seller attributes, one row per account; reading it fails if a lookup has an account twice.
+def _one_per_account(lookup: DataFrame) -> DataFrame:
+    """``lookup`` without rows that have no account; reading it fails if an account is there twice.
+
+    Only the accounts themselves are counted, in a scalar subquery, beside the join that needs the attributes.
+    """
+    lookup = lookup.filter(F.col("Account").isNotNull())
+    repeated = lookup.groupBy("Account").count().filter("count > 1").agg(F.min("Account")).scalar()
+    twice = F.raise_error(F.concat(F.lit("account more than once in a lookup: "), repeated.cast("string")))
+    return lookup.filter(F.when(repeated.isNull(), F.lit(True)).otherwise(twice.cast("boolean")))
 
-    The two are stacked and grouped rather than joined: one shuffle of the lookups both brings them together and
-    checks them, and the facts need one join instead of two.
 
-    They are grouped by the account in a struct, which a join by account does not take for its own partitioning. The
-    join so shuffles the grouped accounts once more, and only then, with a plain shuffle on both of its sides, can
-    Spark split an account that holds a large share of the facts.
+def account_attributes(stores: DataFrame, sellers: DataFrame) -> DataFrame:
+    """Store and seller attributes, one row per account.
+
+    Put together first, so that the facts need one join instead of two: the larger side is sorted once, and with a
+    plain shuffle on either side of that join Spark can split an account that holds a large share of the facts.
     """
-    store = stores.select(
-        F.col("AccountNo").alias("Account"), F.col("Store").alias("Account_Name"),
-        *[name for name in STORE_COLUMNS if name != "Account_Name"], F.lit(1).alias("_stores"),
-    )
-    seller = sellers.select(F.col("Store_ID").alias("Account"), *SELLER_COLUMNS, F.lit(1).alias("_sellers"))
-    grouped = (
-        store.unionByName(seller, allowMissingColumns=True)
-        .filter(F.col("Account").isNotNull())
-        .groupBy(F.struct("Account").alias("_key"))
-        .agg(
-            *[F.max(name).alias(name) for name in (*STORE_COLUMNS, *SELLER_COLUMNS)],
-            F.greatest(F.sum("_stores"), F.sum("_sellers")).alias("_rows"),
-        )
-    )
-    account = F.col("_key.Account")
-    twice = F.raise_error(F.concat(F.lit("account more than once in a lookup: "), account.cast("string")))
-    once = grouped.filter(F.when(F.col("_rows") == 1, F.lit(True)).otherwise(twice.cast("boolean")))
-    return once.select(account.alias("Account"), *STORE_COLUMNS, *SELLER_COLUMNS)
+    store = stores.withColumnsRenamed({"AccountNo": "Account", "Store": "Account_Name"})
+    seller = sellers.withColumnRenamed("Store_ID", "Account")
+    both = _one_per_account(store).join(_one_per_account(seller), "Account", "full")
+    return both.select("Account", *STORE_COLUMNS, *SELLER_COLUMNS)
 
 
 def add_lookups(df: DataFrame, calendar: DataFrame, stores: DataFrame, sellers: DataFrame) -> DataFrame:
