@@ -112,7 +112,7 @@ def wow_changes(snapshots: DataFrame) -> DataFrame:
     ``snapshots`` has the opportunity columns and ``Snapshot_Week``; any number of weeks, gaps allowed. The first week
     has nothing before it and so is only compared with. An opportunity of the week before that is missing is Closed.
     If a snapshot has an opportunity more than once, its usages are summed and its last status and stage, in
-    alphabetical order, are taken.
+    alphabetical order, are taken. Those without a number cannot be told apart and are followed together.
 
     A row is sent to its own week, as now, and to the next one, as before; one grouping by opportunity and week then
     has both. That is one shuffle with map-side sums, and no join in which one opportunity could hold up a task.

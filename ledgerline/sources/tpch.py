@@ -36,7 +36,7 @@ def _in_year(day: str):
 
 
 def _month_start(day: str):
-    return F.date_trunc("month", F.col(day)).cast("date")
+    return F.trunc(F.col(day).cast("date"), "month")
 
 
 def revenue(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFrame:
