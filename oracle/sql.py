@@ -9,6 +9,10 @@ from __future__ import annotations
 import re
 
 
+# The words, categories, labels and statuses below are the fixed values that the library states in ``functions`` and
+# ``operators``, written out again so that the two can disagree.
+
+
 def _category(col: str) -> str:
     return (
         f"case when contains({col}, 'Service') then 'Services' when contains({col}, 'Support') then 'Support' "
@@ -267,6 +271,7 @@ PARTS = {
     select *, coalesce(Opportunity_Usage, 0) - coalesce(Previous_Opportunity_Usage, 0) as Usage_Change from wow""",
 }
 
+# A word in a query that names a part stands for it.
 _WORDS = re.compile(r"\w+")
 
 
@@ -351,6 +356,8 @@ def oracle_sql() -> dict[str, str]:
         "opportunity_detail": _all("detail", _OPP),
         "value_range": _all("ranged", _OPP),
         "opportunity_summary": _all("opp_summary", _OPP),
+        "view_revenue_summary": _all("rev_summary", _ALL),
+        "view_opportunity_summary": _all("opp_summary", _OPP),
         "obj_revenue_by_month": _by_month("Revenue"),
         "obj_fees_by_month": _by_month("Partner_Fee Registration_Fee"),
         "obj_revenue_vs_target": _select("""
