@@ -30,11 +30,11 @@ def previous_week(opportunities: DataFrame) -> DataFrame:
     """
     number = F.col("Opportunity_ID")
     stage = F.substring("Opportunity_Stage", -1, 1).cast("int")
-    worth = parse_amount("Opportunity_Usage")
+    worth = (parse_amount("Opportunity_Usage") * F.lit(0.9).cast("decimal(2,1)")).cast(MONEY)
     before = opportunities.filter(number % 7 != 0).withColumns({
         "Opportunity_Stage": F.when(number % 5 == 0, F.concat(F.lit("Stage "), ((stage + 1) % 4).cast("string")))
                               .otherwise(F.col("Opportunity_Stage")),
-        "Opportunity_Usage": F.when(number % 3 == 0, F.format_number((worth * F.lit(0.9).cast("decimal(2,1)")).cast(MONEY), 2))
+        "Opportunity_Usage": F.when(number % 3 == 0, F.format_number(worth, 2))
                               .otherwise(F.col("Opportunity_Usage")),
     })
     closed = opportunities.filter(number % 11 == 0).withColumn("Opportunity_ID", -number)

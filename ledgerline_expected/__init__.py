@@ -1,5 +1,5 @@
 """The expected results, as SQL over the raw test tables."""
 
-from oracle.sql import oracle_sql
+from ledgerline_expected.sql import oracle_sql
 
 __all__ = ["oracle_sql"]

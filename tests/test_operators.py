@@ -84,7 +84,7 @@ def test_two_names_for_the_anchor_day_fail_loudly(make):
     t = make([sale(1, JAN, 5)])
     twice = t.calendar.unionByName(t.calendar.withColumn("Fiscal_Month", F.lit("January, 2020")))
     with pytest.raises(Exception, match="(?i)scalar.?subquery.*(more than one row|too.?many)"):
-        ops.baseline(ops.align_revenue(ops.revenue_lines(t.revenue), t.calendar), ops.anchor_month(t.revenue, twice)).collect()
+        ops.baseline(facts.aligned_revenue(t), ops.anchor_month(t.revenue, twice)).collect()
 
 
 def test_baseline_carries_revenue_and_partner_fee_but_not_registration_fee(make):
@@ -132,7 +132,7 @@ def test_unknown_mode_is_refused(tiny):
 
 def test_lookups_keep_every_row_and_leave_unmatched_ones_empty(make):
     t = make([sale(1, JAN, 5), sale(2, JAN, 6), sale(None, JAN, 7)],
-             stores=[{"AccountNo": 1, "Store": "One"}, {"AccountNo": None, "Store": "x"}, {"AccountNo": None, "Store": "y"}],
+             stores=[{"AccountNo": 1, "Store": "One"}, *[{"AccountNo": None, "Store": s} for s in "xy"]],
              sellers=[{"Store_ID": 2, "General_Seller": "Two"}])
     done = ops.add_lookups(facts.aligned_revenue(t), t.calendar, t.stores, t.sellers)
     assert bag(done, "Account_No", "Fiscal_Quarter", "Account_Name", "General_Seller") == [

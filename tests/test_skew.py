@@ -73,8 +73,8 @@ def test_summaries_hold_with_a_third_of_all_rows_on_one_account(small, tiny):
         )
 
     def totals(t):
-        summary = summaries.revenue_summary(t)
-        return summary.agg(*[F.sum(m) for m in ("Revenue", "Partner_Fee", "Registration_Fee", "Target", "Baseline")]).first()
+        measures = ("Revenue", "Partner_Fee", "Registration_Fee", "Target", "Baseline")
+        return summaries.revenue_summary(t).agg(*[F.sum(m) for m in measures]).first()
 
     assert totals(crowded(small)) == totals(small)
     busiest = summaries.revenue_summary(crowded(small)).groupBy("Account_No").count().agg(F.max("count")).first()[0]
