@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, mix64, odd_constants, pieces, shingle_hashes, text_of, word_hashes
 from ledgerline.llm.links import link_components
-from ledgerline.llm.minhash import verified_pairs
+from ledgerline.llm.minhash import sets_in
 
 COORDINATES = 128
 BANDS, ROWS = 32, 4
@@ -163,5 +163,5 @@ def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     firsts = marks.filter(F.col("fingerprint") != empty).groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
     firsts = cut(firsts)
     sketches = cut(firsts.select("node", "fingerprint").mapInArrow(banded, "node long, bands array<long>, sig binary"))
-    found = link_components(sketches, verified_pairs(documents, percent), percent / 100, COORDINATES)
+    found = link_components(sketches, sets_in(documents), percent, COORDINATES)
     return marks.join(firsts, "fingerprint").join(found, "node").select("doc_id", F.col("component").alias("component_id"))

@@ -2,9 +2,10 @@
 
 No group is ever paired with itself. Each bucket of equal band hashes first offers only pairs of its members with its
 smallest one. Once those that hold have joined documents into components, only buckets whose other members still lie in
-different components are looked at again: their members outside the largest component against all members, in blocks,
-by their signatures. What remains is verified like the rest, so a link within a bucket is lost only if its signatures
-differ by eight standard deviations more than they should.
+different components are looked at again: their members outside the largest component against all members, in blocks of
+bounded size. A block is verified where it stands, by signatures and then by full sets, and gives only the links that join what
+it has not joined yet, fewer than it has members. A link within a bucket is lost only if its signatures differ by six standard
+deviations more than they should.
 
 Null ids are never linked. Rows that share an id are one document, linked by any of their texts.
 """
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut, distinct_rows
 
-Q_BLOCK, M_BLOCK = 64, 512
+# Elements that the sets of a block have, about; a block has one set at least.
+BLOCK_ELEMENTS = 1 << 17
 MOST_ROUNDS = 50
 
 
@@ -49,71 +51,105 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
 
 
-def _close(least: float):
-    """Pairs of a block of members and a block of others whose signatures agree in a share of at least ``least``."""
-    def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        parts = column.flatten()
-        sig = parts.field("sig")
-        width = len(sig[0].as_py())
-        data = np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(len(sig), width)
-        return np.asarray(parts.field("node")), np.asarray(parts.field("label")), data
+def _common(own: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many elements each of the consecutive sets has in common with the sorted ``own``."""
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    return np.add.reduceat(hit, np.r_[0, np.cumsum(sizes)][:-1], dtype=np.int64)
+
+
+def _joining(percent: int, least: float):
+    """Links between a block of members and a block of others that join labels not joined before, verified on full sets."""
+    def parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        rows = column.flatten()
+        sigs = np.stack([np.frombuffer(sig, np.uint8) for sig in rows.field("sig").to_pylist()])
+        lists = rows.field("members")
+        flat, ends = np.asarray(lists.flatten()), np.r_[0, np.cumsum(np.asarray(lists.value_lengths()))]
+        sets = [np.sort(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return np.asarray(rows.field("node")), np.asarray(rows.field("label")), sigs, sets
+
+    def block(others: pa.Array, members: pa.Array) -> list[tuple[int, int]]:
+        nodes, labels, sigs, sets = parts(members)
+        q_nodes, q_labels, q_sigs, q_sets = parts(others)
+        known, place = np.unique(np.r_[labels, q_labels], return_inverse=True)
+        group, sizes = np.arange(len(known)), np.array([len(s) for s in sets])
+        out = []
+        for i, (node, sig, own) in enumerate(zip(q_nodes, q_sigs, q_sets, strict=True)):
+            mine, theirs = place[len(labels) + i], place[: len(labels)]
+            near = np.flatnonzero((group[theirs] != group[mine]) & ((sigs == sig).mean(axis=1) >= least))
+            if not len(near):
+                continue
+            common = _common(own, np.concatenate([sets[j] for j in near]), sizes[near])
+            for j in near[100 * common >= percent * (len(own) + sizes[near] - common)]:
+                if group[theirs[j]] != group[mine]:
+                    out.append((int(node), int(nodes[j])))
+                    group[group == group[theirs[j]]] = group[mine]
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                nodes, labels, data = signatures(row.column("members"))
-                a, b = [], []
-                for node, label, own in zip(*signatures(row.column("others")), strict=True):
-                    near = (labels != label) & ((data == own).mean(axis=1) >= least)
-                    a.extend(np.minimum(nodes[near], node))
-                    b.extend(np.maximum(nodes[near], node))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                found = block(row.column("others"), row.column("members"))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([min(p) for p in found], pa.int64()), pa.array([max(p) for p in found], pa.int64())], ["a", "b"])
 
     return run
 
 
+def verified(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Of pairs ``a``, ``b`` those with 100 * intersection >= percent * union of their full sets."""
+    ids = cut(distinct_rows(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))))
+    sets = sets_of(ids)
+    both = (
+        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left")), "a")
+        .join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right")), "b")
+        .select("a", "b", F.size("left").alias("l"), F.size("right").alias("r"),
+                F.size(F.array_intersect("left", "right")).alias("common"))
+    )
+    linked = both.filter(F.lit(100).cast("long") * F.col("common") >= percent * (F.col("l") + F.col("r") - F.col("common")))
+    return distinct_rows(linked.filter("common > 0").select("a", "b"))
+
+
 def link_components(
-    sketches: DataFrame, verified: Callable[[DataFrame], DataFrame], similarity: float, coordinates: int,
+    sketches: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, coordinates: int,
 ) -> DataFrame:
     """``node``, ``component`` of every linked node.
 
     ``sketches`` has ``node``, ``bands`` (an array of hashes, each salted by its band) and ``sig`` (a byte of each
-    coordinate), is cut, and has a row for each distinct text. ``verified`` keeps of pairs ``a`` < ``b`` the linked ones.
+    coordinate), is cut, and has a row for each distinct text. ``sets_of`` gives ``doc_id``, ``members`` (the distinct elements
+    of the whole text as numbers) for a table of ``doc_id``.
     """
     rows = distinct_rows(sketches.select("node", F.explode("bands").alias("key")))
     buckets = rows.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).filter("n > 1")
-    members = cut(rows.join(buckets.drop("n"), "key"))
-    star = cut(distinct_rows(members.filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b"))))
-    links = cut(verified(star))
+    members = cut(rows.join(buckets.drop("n"), "key").filter("node != center"))
+    star = cut(distinct_rows(members.select(F.col("center").alias("a"), F.col("node").alias("b"))))
+    links = cut(verified(star, sets_of, percent))
     found = cut(components(links))
 
-    others = (
-        members.filter("node != center").join(found, "node", "left")
-        .select("key", "node", F.coalesce("component", "node").alias("label"))
-    )
-    open_keys = others.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    others = cut(others.join(open_keys.select("key"), "key", "left_semi"))
-    if others.isEmpty():
+    labelled = members.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    open_keys = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    labelled = cut(labelled.join(open_keys.select("key"), "key", "left_semi"))
+    if labelled.isEmpty():
         return found
-    counts = others.groupBy("key", "label").agg(F.count("*").alias("n"))
-    main = counts.groupBy("key").agg(
-        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("m"),
-        (F.sum("n") - F.max("n")).alias("q"),
-    )
-    sketched = others.join(main, "key").join(sketches.select("node", "sig"), "node")
-
-    def blocks(df: DataFrame, count: str, size: int, name: str) -> DataFrame:
-        block = F.pmod(F.xxhash64("node", F.lit(name)), F.ceil(F.col(count) / size))
-        return (
-            df.groupBy("key", block.alias("block"))
-            .agg(F.collect_list(F.struct("node", "label", "sig")).alias(name)).drop("block")
-        )
-
+    counts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    nodes = cut(distinct_rows(labelled.select(F.col("node").alias("doc_id"))))
+    sets = cut(sets_of(nodes).select(F.col("doc_id").alias("node"), "members"))
+    sized_nodes = sets.select("node", F.size("members").alias("size"))
+    placed = cut(labelled.join(main, "key").join(sized_nodes, "node"))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        counts = df.groupBy("key").agg(F.ceil(F.sum("size") / BLOCK_ELEMENTS).alias("blocks"))
+        block = F.pmod(F.xxhash64("node", F.lit(name)), F.col("blocks"))
+        whole = df.join(counts, "key").select("key", "node", "label", block.alias("block"))
+        whole = whole.join(sketches.select("node", "sig"), "node").join(sets, "node")
+        return whole.groupBy("key", "block").agg(
+            F.collect_list(F.struct("node", "label", "sig", "members")).alias(name)).drop("block")
+
+    similarity = percent / 100
+    least = similarity - 6 * (similarity * (1 - similarity) / coordinates) ** 0.5
     pairs = (
-        blocks(sketched.filter("label != main"), "q", Q_BLOCK, "others")
-        .join(blocks(sketched, "m", M_BLOCK, "members"), "key").select("others", "members")
-        .mapInArrow(_close(similarity - 8 * (similarity * (1 - similarity) / coordinates) ** 0.5), "a long, b long")
+        blocks(placed.filter("label != main"), "others").join(blocks(placed, "members"), "key").select("others", "members")
+        .mapInArrow(_joining(percent, least), "a long, b long")
     )
-    more = verified(cut(distinct_rows(pairs.filter("a != b")).join(star, ["a", "b"], "left_anti")))
-    return components(links.unionByName(more))
+    return components(links.unionByName(cut(distinct_rows(pairs))))

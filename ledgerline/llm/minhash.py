@@ -89,22 +89,9 @@ def shingle_sets(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(_sets, "doc_id long, members array<long>")
 
 
-def verified_pairs(documents: DataFrame, percent: int):
-    """Keeps of pairs ``a``, ``b`` those with 100 * intersection >= percent * union of their full shingle sets."""
-    def verified(pairs: DataFrame) -> DataFrame:
-        ids = cut(distinct_rows(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))))
-        texts = documents.select("doc_id", "text").join(sized(ids), "doc_id", "left_semi")
-        sets = shingle_sets(texts)
-        both = (
-            pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right")), "b")
-            .select("a", "b", F.size("left").alias("l"), F.size("right").alias("r"),
-                    F.size(F.array_intersect("left", "right")).alias("common"))
-        )
-        linked = both.filter(F.lit(100).cast("long") * F.col("common") >= percent * (F.col("l") + F.col("r") - F.col("common")))
-        return distinct_rows(linked.filter("common > 0").select("a", "b"))
-
-    return verified
+def sets_in(documents: DataFrame):
+    """The shingle sets of the documents whose ids are asked for."""
+    return lambda ids: shingle_sets(documents.select("doc_id", "text").join(sized(ids), "doc_id", "left_semi"))
 
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -118,7 +105,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         linkable.join(nodes, "set_key").filter("doc_id = node")
         .groupBy("set_key", "node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     )
-    found = link_components(firsts, verified_pairs(documents, percent), percent / 100, BANDS * ROWS)
+    found = link_components(firsts, sets_in(documents), percent, BANDS * ROWS)
     # Copies of a set follow its node; an id with several sets joins them.
     several = distinct_rows(by_id.select("doc_id", "node")).groupBy("doc_id").agg(
         F.min("node").alias("node"), F.max("node").alias("high")).filter("node != high").select("doc_id")
