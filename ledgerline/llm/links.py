@@ -121,7 +121,8 @@ def link_components(
     """
     rows = distinct_rows(sketches.select("node", F.explode("bands").alias("key")))
     buckets = rows.groupBy("key").agg(F.min("node").alias("center"), F.count("*").alias("n")).filter("n > 1")
-    members = cut(rows.join(buckets.drop("n"), "key").filter("node != center"))
+    # Cut, so that the join stands between two plain shuffles, whose large buckets Spark can split.
+    members = cut(rows.join(cut(buckets.drop("n")), "key").filter("node != center"))
     star = cut(distinct_rows(members.select(F.col("center").alias("a"), F.col("node").alias("b"))))
     links = cut(verified(star, sets_of, percent))
     found = cut(components(links))
