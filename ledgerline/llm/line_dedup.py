@@ -40,7 +40,8 @@ def shared_lines(documents: DataFrame, least: int = LEAST_LENGTH, documents_with
         once = hashed.groupBy("h1", "h2", _order(F.col("doc_id")).alias("id")).agg(F.count("*").alias("n"))
         shared = once.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter(
             F.col("n") >= documents_with)
-    gone = hashed.join(shared.select("h1", "h2", "first_id"), ["h1", "h2"]).filter(_order(F.col("doc_id")) != F.col("first_id"))
+    # Cut, so that the join stands between two plain shuffles, whose large keys Spark can split.
+    gone = hashed.join(cut(shared.select("h1", "h2", "first_id")), ["h1", "h2"]).filter(_order(F.col("doc_id")) != F.col("first_id"))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("position").alias("positions"))
 
 
