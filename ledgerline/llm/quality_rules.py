@@ -96,13 +96,14 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     counted = base.select(
         "row", n.alias("n_words"), F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"), F.concat("w1", "w2").alias("grams"))
+        covered.cast("long").alias("n_repeat_words"), F.concat("w1", "w2").alias("grams"),
+        F.spark_partition_id().alias("partition"))
     counted = counted.withColumn("ratios", ratios.scalar())
     total = F.aggregate("grams", F.lit(0.0), lambda t, h: t + F.get(F.col("ratios"), F.pmod(h, F.lit(BUCKETS)).cast("int")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     llr = F.when(F.size("grams") > 0, total / F.size("grams"))
     rated = counted.select(
-        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), llr.alias("llr"))
+        "row", "partition", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), llr.alias("llr"))
     return rated.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= THRESHOLD, F.lit(False)))
 
 
@@ -114,4 +115,6 @@ def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, whole rows, that the rules keep."""
-    return scored(documents, labels).filter("kept").select("row.*")
+    # The partition's number stands here so that the filter stays above the counts: Spark would else move it below them all,
+    # and write each out again wherever the condition needs it.
+    return scored(documents, labels).filter("kept and partition >= 0").select("row.*")
