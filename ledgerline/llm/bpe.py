@@ -6,9 +6,9 @@ leads where v led; and u now leads to a copy of its state in which v can't be re
 side forbids, every token leads to one state, and there is a state for each merge. A state is stored as the one it copies and
 the arc that it lacks; its other arcs are worked out when first used, and kept.
 
-A word is encoded from left to right: from each of its places, a table of byte transitions finds the tokens that begin there,
-and the automaton says which of them may follow. Of every prefix there is just one accepted sequence, so no place is reached
-twice. Words are cut by the tokenizer's pattern, and special tokens before that.
+A word is encoded from left to right: at a place, a table of byte transitions finds the tokens that begin there, and the
+automaton says which of them may follow; the longest is tried first. Of every prefix there is just one accepted sequence, so no
+place is reached in two ways. Words are cut by the tokenizer's pattern, and special tokens before that.
 
 Reads tokenizer files of byte-level BPE. A file with a normaliser, a prefix space or other things not done here is refused.
 
@@ -33,7 +33,7 @@ from ledgerline.llm.common import pieces
 
 # Fixed value: how the byte-level pre-tokenizer cuts text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-REMEMBERED_WORDS, REMEMBERED_LENGTH = 200_000, 64
+REMEMBERED_WORDS, REMEMBERED_LENGTH, REMEMBERED_ARCS = 300_000, 64, 1_000_000
 WORDS_AT_ONCE = 100_000
 
 
@@ -69,6 +69,7 @@ class Automaton:
         self.found = [-1]
         for token in self.made:
             self._add_label(token)
+        self.longest = max((len(labels[token]) for token in self.made), default=0)
 
     def _gadget(self, time: int, u: int, v: int, join: int) -> None:
         if u not in self.state_of or v not in self.state_of or join in self.made or not self._arc(self.state_of[u], v):
@@ -104,34 +105,50 @@ class Automaton:
                 self.found.append(-1)
         self.found[node] = token
 
+    def _beginning_at(self, word: bytes, start: int) -> list[int]:
+        """The tokens that the bytes from a place on begin with, the longest last."""
+        nodes, found, node, out = self.nodes, self.found, 0, []
+        for byte in word[start : start + self.longest]:
+            node = nodes.get(node << 8 | byte)
+            if node is None:
+                break
+            if found[node] >= 0:
+                out.append(found[node])
+        return out
+
     def encode(self, word: bytes) -> tuple[int, ...]:
-        """The tokens of a word."""
-        size, nodes, found, arcs = len(word), self.nodes, self.found, self.arcs
-        states = [0] + [-1] * size
-        read, came = [0] * (size + 1), [0] * (size + 1)
-        for start in range(size):
-            state, node = states[start], 0
-            if state < 0:
-                continue
-            for end in range(start, size):
-                node = nodes.get(node << 8 | word[end], 0)
-                if not node:
-                    break
-                token = found[node]
-                if token < 0 or states[end + 1] >= 0:
+        """The tokens of a word: the path that spells it, longer tokens tried first.
+
+        A place can be reached in one way only, so one that turns out to lead nowhere is not tried again.
+        """
+        size, arcs, labels, state_of = len(word), self.arcs, self.labels, self.state_of
+        path: list[int] = []
+        state, place, nowhere = 0, 0, set()
+        choices = [self._beginning_at(word, 0)]
+        while place < size:
+            left = choices[-1]
+            while left:
+                token = left.pop()
+                end = place + len(labels[token])
+                if end in nowhere:
                     continue
                 allowed = arcs.get((state, token))
                 if allowed is None:
                     allowed = arcs[state, token] = self._arc(state, token)
                 if allowed:
-                    states[end + 1], read[end + 1], came[end + 1] = self.state_of[token], token, start
-        if size and states[size] < 0:
-            raise ValueError("the vocabulary lacks a byte of the text")
-        out = []
-        while size:
-            out.append(read[size])
-            size = came[size]
-        return tuple(reversed(out))
+                    path.append(token)
+                    state, place = state_of[token], end
+                    if place < size:
+                        choices.append(self._beginning_at(word, place))
+                    break
+            else:
+                if not path:
+                    raise ValueError("the vocabulary lacks a byte of the text")
+                nowhere.add(place)
+                choices.pop()
+                place -= len(labels[path.pop()])
+                state = state_of[path[-1]] if path else 0
+        return tuple(path)
 
 
 class Tokenizer:
@@ -174,6 +191,7 @@ class Tokenizer:
         if len(word) <= REMEMBERED_LENGTH:
             if len(self.known) >= REMEMBERED_WORDS:
                 self.known.clear()
+            if len(self.automaton.arcs) >= REMEMBERED_ARCS:
                 self.automaton.arcs.clear()
             self.known[word] = ids
         return ids
