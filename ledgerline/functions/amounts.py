@@ -7,13 +7,27 @@ from pyspark.sql import types as T
 from ledgerline.schemas import MONEY
 
 
+def _number(text: Column | str, to: T.DataType) -> Column:
+    plain = F.trim(F.replace(text, F.lit(","), F.lit("")))
+    return F.when(plain == "", F.lit(0).cast(to)).otherwise(plain.try_cast(to))
+
+
+def is_amount(text: Column | str, to: T.DataType = MONEY) -> Column:
+    """Whether ``parse_amount`` can read the text; NULL and blank text it can."""
+    return F.isnull(text) | _number(text, to).isNotNull()
+
+
 def parse_amount(text: Column | str, to: T.DataType = MONEY) -> Column:
-    """A text amount such as ``-1,234.50`` as a number; NULL where it is not one.
+    """A text amount such as ``-1,234.50`` as a number; NULL stays NULL, and blank text is 0.
 
+    Text that is no number, or too large for ``to``, is an error. ``is_amount`` tells such rows beforehand.
     Decimal, so that sums do not depend on the order in which partitions arrive. Digits beyond the scale of ``to``
-    are rounded; pass a wider type for amounts finer than a cent.
+    are rounded.
     """
-    return F.replace(text, F.lit(","), F.lit("")).try_cast(to)
+    text = F.col(text) if isinstance(text, str) else text
+    number = _number(text, to)
+    wrong = F.raise_error(F.concat(F.lit("not an amount: "), text)).cast(to)
+    return F.when(F.isnull(text) | number.isNotNull(), number).otherwise(wrong)
 
 
 def zero_if_negative(amount: Column) -> Column:

@@ -5,12 +5,14 @@ from ledgerline.operators.forecast import baseline, baseline_average, spread_run
 from ledgerline.operators.lookups import add_lookups
 from ledgerline.operators.merge import expand_copies, merge_facts, one_row_per_key
 from ledgerline.operators.opportunities import (
+    accepted_amounts,
     clean_opportunities,
     extrapolate,
     future_opportunities,
     live_opportunities,
     opportunity_detail,
     opportunity_monthly,
+    rejected_amounts,
 )
 from ledgerline.operators.profile import distinct_values, peek
 from ledgerline.operators.revenue import (
@@ -24,9 +26,9 @@ from ledgerline.operators.revenue import (
 from ledgerline.operators.targets import align_targets, rename_targets
 
 __all__ = [
-    "add_lookups", "align_revenue", "align_targets", "anchor_month", "baseline", "baseline_average",
+    "accepted_amounts", "add_lookups", "align_revenue", "align_targets", "anchor_month", "baseline", "baseline_average",
     "bucket_category", "clean_opportunities", "distinct_values", "expand_copies", "extrapolate",
     "future_months", "future_opportunities", "live_opportunities", "merge_facts", "one_row_per_key",
-    "opportunity_detail", "opportunity_monthly", "peek", "rename_revenue", "rename_targets", "revenue_lines",
+    "opportunity_detail", "opportunity_monthly", "peek", "rejected_amounts", "rename_revenue", "rename_targets", "revenue_lines",
     "revenue_monthly", "split_measures", "spread_runrate",
 ]

@@ -18,7 +18,12 @@ def on_day(facts: DataFrame, day: str, calendar: DataFrame, *columns: str) -> Da
 
 
 def month_attributes(calendar: DataFrame) -> DataFrame:
-    return calendar.select("Fiscal_Month", "Fiscal_Quarter", "Fiscal_Year", "Month_ID").distinct()
+    """One row per month; reading it fails if the days of a month disagree on an attribute, which would multiply facts."""
+    own = F.struct("Fiscal_Quarter", "Fiscal_Year", "Month_ID")
+    months = calendar.groupBy("Fiscal_Month").agg(F.min(own).alias("own"), F.max(own).alias("other"))
+    differ = F.raise_error(F.concat(F.lit("more than one set of attributes for the month "), F.col("Fiscal_Month")))
+    one = F.when(F.col("own").eqNullSafe(F.col("other")), F.col("own")).otherwise(differ)
+    return months.select("Fiscal_Month", one.alias("own")).select("Fiscal_Month", "own.*")
 
 
 def name_anchor(last: DataFrame, calendar: DataFrame) -> DataFrame:

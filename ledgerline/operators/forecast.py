@@ -36,8 +36,11 @@ def baseline_average(lines: DataFrame, calendar: DataFrame, anchor: DataFrame, m
     double. With one month it equals ``baseline``. ``lines`` comes from ``revenue_lines``.
     """
     dated = on_day(lines.withColumnRenamed("Fiscal_Month", "Revenue_Date"), "Revenue_Date", calendar, "Month_ID")
-    last_id = F.col("_anchor.Month_ID")
-    window = with_anchor(dated, anchor).filter(F.col("Month_ID").between(last_id - months + 1, last_id))
+    # By the order of the calendar's months: their numbers need not follow each other without a gap.
+    ids = calendar.agg(F.sort_array(F.collect_set("Month_ID"), asc=False)).scalar()
+    up_to_anchor = F.filter("_ids", lambda number: number <= F.col("_anchor.Month_ID"))
+    window = with_anchor(dated, anchor).withColumn("_ids", ids).filter(
+        F.array_contains(F.slice(up_to_anchor, 1, months), F.col("Month_ID")))
     total = window.groupBy("Account_No", "Product_Category").agg(
         F.sum(F.col("Partner_Fee") + F.col("Revenue")).alias("Total")
     )

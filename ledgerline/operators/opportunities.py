@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.functions.amounts import parse_amount
+from ledgerline.functions.amounts import is_amount, parse_amount
 from ledgerline.functions.categories import category_of
 from ledgerline.functions.months import months_left
 from ledgerline.operators.fiscal import on_day, with_anchor
@@ -30,10 +30,22 @@ def clean_opportunities(opportunities: DataFrame) -> DataFrame:
     )
 
 
+def rejected_amounts(opportunities: DataFrame) -> DataFrame:
+    """The opportunities whose usage is text that is no number, as they are."""
+    return opportunities.filter(~is_amount("Opportunity_Usage"))
+
+
+def accepted_amounts(opportunities: DataFrame) -> DataFrame:
+    """The opportunities without those of ``rejected_amounts``."""
+    return opportunities.filter(is_amount("Opportunity_Usage"))
+
+
 def live_opportunities(
     opportunities: DataFrame, include_inactive: bool = False, amount: T.DataType = MONEY
 ) -> DataFrame:
-    """Clean opportunities with a non-zero usage, as a number; text that is not a number counts as no usage.
+    """Clean opportunities with a non-zero usage, as a number; text that is not a number is an error.
+
+    To go on without such rows, take them out with ``accepted_amounts`` and look at ``rejected_amounts``.
 
     Unless ``include_inactive``, inactive projects are left out, and with them those without a status.
     """

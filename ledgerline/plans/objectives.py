@@ -111,8 +111,8 @@ def wow_changes(snapshots: DataFrame) -> DataFrame:
 
     ``snapshots`` has the opportunity columns and ``Snapshot_Week``; any number of weeks, gaps allowed. The first week
     has nothing before it and so is only compared with. An opportunity of the week before that is missing is Closed.
-    If a snapshot has an opportunity more than once, its usages are summed and its last status and stage, in
-    alphabetical order, are taken. Those without a number cannot be told apart and are followed together.
+    If a snapshot has an opportunity more than once, its usages are summed, and the attributes are those of one of its
+    rows, the last by status and stage. Opportunities without a number cannot be followed, and are an error.
 
     A row is sent to its own week, as now, and to the next one, as before; one grouping by opportunity and week then
     has both. That is one shuffle with map-side sums, and no join in which one opportunity could hold up a task.
@@ -136,8 +136,11 @@ def wow_changes(snapshots: DataFrame) -> DataFrame:
 
     def side(name: str, condition) -> list:
         total = F.sum(F.when(condition, F.col("Usage"))).alias(f"{name}Opportunity_Usage")
-        return [total, *[F.max(F.when(condition, F.col(a))).alias(f"{name}{a}") for a in attributes]]
+        last = F.max(F.when(condition, F.struct("Opportunity_Status", "Opportunity_Stage", *attributes[:2])))
+        return [total, *[last[a].alias(f"{name}{a}") for a in attributes]]
 
+    nameless = F.raise_error(F.lit("an opportunity without an Opportunity_ID")).cast("long")
+    sent = sent.withColumn("Opportunity_ID", F.coalesce("Opportunity_ID", nameless))
     paired = sent.groupBy("Opportunity_ID", F.col("_to.Week").alias("Snapshot_Week")).agg(
         *side("", now), *side("Previous_", ~now),
         F.max(now).alias("_here"), F.max(~now).alias("_before"),

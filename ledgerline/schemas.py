@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-MONEY = T.DecimalType(18, 2)
+# Wide enough for any amount in a currency, and for parts of a cent: rounding is left to whoever shows a result.
+MONEY = T.DecimalType(28, 6)
 
 
 def _schema(**columns: T.DataType) -> T.StructType:

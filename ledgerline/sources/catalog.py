@@ -47,14 +47,15 @@ def tables_from_catalog(spark: SparkSession, week: int, database: str | None = N
 def read_tables(spark: SparkSession, path: str, week: int, format: str = "parquet") -> Tables:
     """The six tables below ``path``, one folder or file each, under their table names.
 
-    Parquet and ORC bring their own types and are cast to ours; text formats are read with our schema.
+    Columns go by name, in any order; one that is missing, or has values that are not of its type, is an error. Parquet
+    and ORC bring their own types and are cast to ours, CSV has text under the names in its header.
     """
     def load(stored: str, schema: T.StructType) -> DataFrame:
         reader = spark.read.format(format)
         if format == "csv":
             reader = reader.option("header", True)
-        if format in ("csv", "json"):
-            reader = reader.schema(schema)
+        if format == "json":
+            reader = reader.option("mode", "FAILFAST").schema(schema)
         return reader.load(f"{path.rstrip('/')}/{stored}")
 
     return _open(week, load)

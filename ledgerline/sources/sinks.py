@@ -3,10 +3,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def write_summary(df: DataFrame, path: str, partition_by: str = "Fiscal_Year", format: str = "parquet") -> None:
+def write_summary(
+    df: DataFrame, path: str, partition_by: str = "Fiscal_Year", format: str = "parquet", replace_all: bool = False
+) -> None:
     """Write a summary partitioned by fiscal year, so that a report on one year reads that year's files only.
 
+    Years that ``df`` does not have stay as they are, unless ``replace_all``.
     The rebalance hint gathers a year's rows into files of a sensible size and, because it lets Spark split a large
     partition, a year that holds most of the rows is still written by many tasks.
     """
-    df.hint("rebalance", partition_by).write.format(format).mode("overwrite").partitionBy(partition_by).save(path)
+    writer = df.hint("rebalance", partition_by).write.format(format).mode("overwrite").partitionBy(partition_by)
+    writer.option("partitionOverwriteMode", "static" if replace_all else "dynamic").save(path)

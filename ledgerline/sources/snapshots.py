@@ -30,7 +30,7 @@ def previous_week(opportunities: DataFrame) -> DataFrame:
     """
     number = F.col("Opportunity_ID")
     stage = F.substring("Opportunity_Stage", -1, 1).cast("int")
-    worth = (parse_amount("Opportunity_Usage") * F.lit(0.9).cast("decimal(2,1)")).cast(MONEY)
+    worth = (parse_amount("Opportunity_Usage") * F.lit(0.9).cast("decimal(2,1)")).cast("decimal(18,2)")
     before = opportunities.filter(number % 7 != 0).withColumns({
         "Opportunity_Stage": F.when(number % 5 == 0, F.concat(F.lit("Stage "), ((stage + 1) % 4).cast("string")))
                               .otherwise(F.col("Opportunity_Stage")),

@@ -31,7 +31,7 @@ def _months_left(col: str, last: int) -> str:
 def _extrap(left: str) -> str:
     return (
         f"case when Opportunity_Usage < 0 then 0 else "
-        f"cast({left} as decimal(2,0)) * cast(Opportunity_Usage as decimal(28,2)) end"
+        f"cast({left} as decimal(2,0)) * cast(Opportunity_Usage as decimal(28,6)) end"
     )
 
 
@@ -80,7 +80,7 @@ def _opps(source: str) -> str:
 
 
 def _usage(text: str) -> str:
-    return f"try_cast(replace({text}, ',', '') as decimal(18,2))"
+    return f"try_cast(replace({text}, ',', '') as decimal(28,6))"
 
 
 PARTS = {
@@ -94,11 +94,10 @@ PARTS = {
                        when 'MEDIUM' then 'Support Desk' when 'PROMO' then 'Product Promo'
                        when 'SMALL' then 'Product Support' else 'Standard' end as Product_Category,
            o_orderstatus as Motion,
-           case when l_shipdate >= date '1999-02-01' then cast(0 as decimal(18,2))
-                else cast(l_extendedprice as decimal(18,2)) end as Revenue
-    from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey
-    where l_shipdate >= date '1998-07-01' and l_shipdate < date '1999-07-01'""",
-    "fx_opps": """
+           case when l_shipdate >= date '1999-02-01' then cast(0 as decimal(28,6))
+                else cast(l_extendedprice as decimal(28,6)) end as Revenue
+    from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey""",
+    "fx_opps_all": """
     select o_custkey as Store_No,
            case when o_orderkey % 97 = 0 then date '1990-01-01' else cast(o_orderdate as date) end
              as Opportunity_Est_Date,
@@ -112,15 +111,16 @@ PARTS = {
                 when o_orderkey % 50 = 0 then null else 'Pending' end as Project_Status,
            o_orderstatus as Opportunity_Status,
            concat('Stage ', cast(o_orderkey % 4 as varchar)) as Opportunity_Stage,
-           case when o_orderkey % 41 = 0 then '0'
+           case when o_orderkey % 41 = 0 then '0' when o_orderkey % 43 = 2 then '0.004' when o_orderkey % 89 = 3 then 'n/a'
                 else format('{:,.2f}', cast(o_totalprice - 50000 as decimal(18,2))) end as Opportunity_Usage
-    from orders where o_orderdate >= date '1998-07-01' and o_orderdate < date '1999-07-01'""",
+    from orders""",
+    "fx_opps": "select * from fx_opps_all where Opportunity_Usage <> 'n/a'",
     "fx_targets": """
     select o_custkey as Store_Number,
            case o_orderkey % 3 when 0 then 'Services' when 1 then 'Support' else 'Products' end as Service_Comp_Group,
            cast(date_trunc('month', o_orderdate) as date) as Fiscal_Month,
-           sum(cast(o_totalprice as decimal(18,2))) as Target
-    from orders where o_orderdate >= date '1998-07-01' and o_orderdate < date '1999-07-01' group by 1, 2, 3""",
+           sum(cast(o_totalprice as decimal(28,6))) as Target
+    from orders group by 1, 2, 3""",
     "fx_stores": """
     select c_custkey as AccountNo, c_name as Store, c_mktsegment as Industry, n_name as Vertical,
            case when c_acctbal < 0 then 'SMB' when c_acctbal < 5000 then 'Corporate' else 'Enterprise' end as Segment,
@@ -260,11 +260,11 @@ PARTS = {
            {_usage('n.Opportunity_Usage')} as Opportunity_Usage,
            {_usage('b.Opportunity_Usage')} as Previous_Opportunity_Usage,
            case when b.Opportunity_ID is null then 'New' when n.Opportunity_ID is null then 'Closed'
-                when n.Opportunity_Stage <> b.Opportunity_Stage
-                     and {_usage('n.Opportunity_Usage')} <> {_usage('b.Opportunity_Usage')}
+                when (n.Opportunity_Stage, n.Opportunity_Status) is distinct from (b.Opportunity_Stage, b.Opportunity_Status)
+                     and {_usage('n.Opportunity_Usage')} is distinct from {_usage('b.Opportunity_Usage')}
                      then 'Stage and value changed'
-                when n.Opportunity_Stage <> b.Opportunity_Stage then 'Stage changed'
-                when {_usage('n.Opportunity_Usage')} <> {_usage('b.Opportunity_Usage')} then 'Value changed'
+                when (n.Opportunity_Stage, n.Opportunity_Status) is distinct from (b.Opportunity_Stage, b.Opportunity_Status) then 'Stage changed'
+                when {_usage('n.Opportunity_Usage')} is distinct from {_usage('b.Opportunity_Usage')} then 'Value changed'
                 else 'Same' end as Change_Type
     from week_now n full join week_before b on n.Opportunity_ID = b.Opportunity_ID""",
     "wow_change": """
@@ -318,7 +318,11 @@ def oracle_sql() -> dict[str, str]:
     sliced = "Revenue Partner_Fee Registration_Fee Target Baseline Opportunity_Into_RR"
     return {
         "scan_revenue": _all("fx_revenue", "Revenue", "Month"),
-        "scan_opportunities": _all("fx_opps", dates="Opportunity_Est_Date"),
+        "peek": "select cast(least(10, count(*)) as bigint) as Rows_Found from customer where c_custkey % 53 <> 0",
+        "rejected_amounts": _select(
+            "select * replace (cast(Opportunity_Est_Date as varchar) as Opportunity_Est_Date) from fx_opps_all "
+            "where Opportunity_Usage = 'n/a'"),
+        "scan_opportunities": _all("fx_opps_all", dates="Opportunity_Est_Date"),
         "scan_targets": _all("fx_targets", "Target", "Fiscal_Month"),
         "scan_stores": _all("fx_stores"),
         "scan_sellers": _all("fx_sellers"),

@@ -6,7 +6,8 @@ import pytest
 import __spark_entry__ as entry_point
 from conftest import TESTDATA
 
-QUERIES, EXPECTED = entry_point.queries(), entry_point.oracle_sql()
+QUERIES = {name: entry_point.queries()[name] for name in entry_point.PLANS}
+EXPECTED = entry_point.expected()
 
 
 @pytest.fixture(scope="module")
@@ -24,9 +25,7 @@ def duck():
 
 
 def test_every_query_has_an_expected_result():
-    # An unordered peek at a few rows has none.
-    assert set(QUERIES) - set(EXPECTED) == {"peek"}
-    assert set(EXPECTED) <= set(QUERIES)
+    assert set(QUERIES) == set(EXPECTED)
 
 
 @pytest.mark.parametrize("name", EXPECTED)
