@@ -13,7 +13,9 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from ledgerline import schemas  # noqa: E402
 from ledgerline.schemas import Tables  # noqa: E402
-from ledgerline.sources import fiscal_calendar, tables_from_tpch  # noqa: E402
+from ledgerline.sources import fiscal_calendar  # noqa: E402
+
+import __spark_entry__ as entry_point  # noqa: E402
 
 TESTDATA = Path("/root/testdata")
 
@@ -38,12 +40,12 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def tiny(spark):
-    return tables_from_tpch(spark, str(TESTDATA / "sf0.001"))
+    return entry_point._tables(spark, str(TESTDATA / "sf0.001"))
 
 
 @pytest.fixture(scope="session")
 def small(spark):
-    return tables_from_tpch(spark, str(TESTDATA / "sf0.01"))
+    return entry_point._tables(spark, str(TESTDATA / "sf0.01"))
 
 
 def _rows(spark, schema, rows):

@@ -3,7 +3,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.functions import category_of, months_left, parse_amount, range_label
+from ledgerline.functions import category_of, is_amount, months_left, parse_amount, range_label
 from ledgerline.functions.amounts import zero_if_negative
 from ledgerline.functions.months import FISCAL_MONTHS
 
@@ -13,14 +13,20 @@ def apply(spark, expr, values, dtype):
     return [r[0] for r in df.select("i", expr(F.col("x")).alias("y")).orderBy("i").select("y").collect()]
 
 
-def test_amounts_parse_without_raising_on_bad_text(spark):
-    texts = ["1,234.50", "-50,000", "0", " 12 ", "1e3", "", "n/a", None]
+def test_amounts_keep_every_digit(spark):
+    texts = ["1,234.50", "-50,000", "0", " 12 ", "1e3", "", "0.004", "12345678901234567.00", "10.005", None]
     assert apply(spark, parse_amount, texts, "string") == [
-        Decimal("1234.50"), Decimal("-50000.00"), Decimal("0.00"), Decimal("12.00"), Decimal("1000.00"),
-        None, None, None,
+        Decimal("1234.50"), -50000, 0, 12, 1000, 0, Decimal("0.004"), 12345678901234567, Decimal("10.005"), None,
     ]
 
 
+@pytest.mark.parametrize("text", ["n/a", "$500", "(500)", "1 000", "1" * 30])
+def test_text_that_is_no_amount_is_an_error(spark, text):
+    assert apply(spark, is_amount, [text, "1", None], "string") == [False, True, True]
+    with pytest.raises(Exception, match="not an amount"):
+        apply(spark, parse_amount, [text], "string")
+
+
 def test_zero_if_negative_keeps_null(spark):
     assert apply(spark, zero_if_negative, [-1, 0, 2, None], "int") == [0, 0, 2, None]
 

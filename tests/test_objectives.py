@@ -1,3 +1,4 @@
+import pytest
 from datetime import date
 
 from conftest import bag, goal, opp, sale
@@ -78,6 +79,16 @@ def test_weeks_with_a_gap_are_compared_with_the_snapshot_before(make):
     ]
 
 
+def test_a_repeated_opportunity_shows_one_of_its_rows_and_a_nameless_one_fails(make):
+    twice = _week(make, opp(1, JAN, "1", number=1, stage="S9"), opp(1, JAN, "1", number=1, stage="S1"))
+    weeks = weekly_snapshots({24: twice, 25: _week(make, opp(1, JAN, "3", number=1, stage="S9"))})
+    assert bag(objectives.wow_changes(weeks), "Opportunity_Usage", "Previous_Opportunity_Usage", "Change_Type") == [
+        (3, 2, "Value changed")]
+    nameless = _week(make, opp(1, JAN, "1", number=None))
+    with pytest.raises(Exception, match="without an Opportunity_ID"):
+        objectives.wow_changes(weekly_snapshots({24: nameless, 25: nameless})).collect()
+
+
 def test_one_week_has_no_changes(make):
     assert objectives.wow_changes(weekly_snapshots({25: _week(make, opp(1, JAN, "1"))})).count() == 0
 

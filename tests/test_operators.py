@@ -40,11 +40,19 @@ def test_opportunities_need_a_product(make):
 
 
 def test_usage_is_parsed_before_it_is_tested(make):
-    usages = ["0", "0.00", "1,500", "-2", "n/a", "", None]
+    usages = ["0", "0.00", "1,500", "-2", "", None]
     t = make(opportunities=[opp(i, JAN, u) for i, u in enumerate(usages)])
     assert bag(ops.live_opportunities(t.opportunities), "Opportunity_Usage") == [(-2,), (1500,)]
 
 
+def test_amounts_that_are_none_are_an_error_unless_taken_out(make):
+    t = make(opportunities=[opp(1, JAN, "$500"), opp(2, JAN, "7"), opp(3, JAN, "0.004")])
+    with pytest.raises(Exception, match="not an amount"):
+        ops.live_opportunities(t.opportunities).collect()
+    assert bag(ops.rejected_amounts(t.opportunities), "Store_No") == [(1,)]
+    assert bag(ops.live_opportunities(ops.accepted_amounts(t.opportunities)), "Account_No") == [(2,), (3,)]
+
+
 def test_inactive_and_missing_status_are_left_out_unless_wanted(make):
     t = make(opportunities=[opp(1, JAN, "1", status=s) for s in ("Active", "Inactive", None)])
     assert ops.live_opportunities(t.opportunities).count() == 1
