@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,15 +15,17 @@ SELLER_COLUMNS = ("General_Seller", "Services_Seller", "Product_Seller")
 MONTH_COLUMNS = ("Fiscal_Quarter", "Fiscal_Year", "Month_ID")
 
 
-def _one_per_account(lookup: DataFrame) -> DataFrame:
-    """``lookup`` without rows that have no account; reading it fails if an account is there twice.
+def _one_per_account(lookup: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """The attributes of every account; rows without an account are left out, and an account that is there twice fails.
 
-    Only the accounts themselves are counted, in a scalar subquery, beside the join that needs the attributes.
+    The lookup is read once: rows are counted in the grouping that brings an account's rows together, whose shuffle the
+    join of the two lookups uses again.
     """
-    lookup = lookup.filter(F.col("Account").isNotNull())
-    repeated = lookup.groupBy("Account").count().filter("count > 1").agg(F.min("Account")).scalar()
-    twice = F.raise_error(F.concat(F.lit("account more than once in a lookup: "), repeated.cast("string")))
-    return lookup.filter(F.when(repeated.isNull(), F.lit(True)).otherwise(twice.cast("boolean")))
+    one = lookup.filter(F.col("Account").isNotNull()).groupBy("Account").agg(
+        F.count("*").alias("_rows"), *[F.first(name).alias(name) for name in attributes])
+    twice = F.raise_error(F.concat(F.lit("account more than once in a lookup: "), F.col("Account").cast("string")))
+    is_one = F.when(F.col("_rows") == 1, F.lit(True)).otherwise(twice.cast("boolean"))
+    return one.filter(is_one).select("Account", *attributes)
 
 
 def account_attributes(stores: DataFrame, sellers: DataFrame) -> DataFrame:
@@ -32,7 +36,7 @@ def account_attributes(stores: DataFrame, sellers: DataFrame) -> DataFrame:
     """
     store = stores.withColumnsRenamed({"AccountNo": "Account", "Store": "Account_Name"})
     seller = sellers.withColumnRenamed("Store_ID", "Account")
-    both = _one_per_account(store).join(_one_per_account(seller), "Account", "full")
+    both = _one_per_account(store, STORE_COLUMNS).join(_one_per_account(seller, SELLER_COLUMNS), "Account", "full")
     return both.select("Account", *STORE_COLUMNS, *SELLER_COLUMNS)
 
 

@@ -106,10 +106,11 @@ NEW, CLOSED, SAME = "New", "Closed", "Same"
 STAGE_CHANGED, VALUE_CHANGED, BOTH_CHANGED = "Stage changed", "Value changed", "Stage and value changed"
 
 
-def wow_changes(snapshots: DataFrame) -> DataFrame:
+def wow_changes(snapshots: DataFrame, weeks: Sequence[int] | None = None) -> DataFrame:
     """Each opportunity in each week, beside itself in the snapshot before, and what changed.
 
-    ``snapshots`` has the opportunity columns and ``Snapshot_Week``; any number of weeks, gaps allowed. The first week
+    ``snapshots`` has the opportunity columns and ``Snapshot_Week``; any number of weeks, gaps allowed. ``weeks`` names
+    the weeks it has; left out, they are looked up, which reads the snapshots' weeks once more. The first week
     has nothing before it and so is only compared with. An opportunity of the week before that is missing is Closed.
     If a snapshot has an opportunity more than once, its usages are summed, and the attributes are those of one of its
     rows, the last by status and stage. Opportunities without a number cannot be followed, and are an error.
@@ -118,13 +119,16 @@ def wow_changes(snapshots: DataFrame) -> DataFrame:
     has both. That is one shuffle with map-side sums, and no join in which one opportunity could hold up a task.
     """
     week = F.col("Snapshot_Week")
-    weeks = snapshots.agg(F.sort_array(F.collect_set(week))).scalar()  # one entry per snapshot week
+    if weeks is None:
+        known = snapshots.agg(F.sort_array(F.collect_set(week))).scalar()  # one entry per snapshot week
+    else:
+        known = F.array(*[F.lit(w) for w in sorted(set(weeks))]).cast("array<int>")
     next_week = F.array_min(F.filter("_weeks", lambda w: w > week))
     attributes = ("Account_No", "Product_Category", "Opportunity_Status", "Opportunity_Stage")
 
     usage = parse_amount("Opportunity_Usage")
     sent = (
-        clean_opportunities(snapshots).withColumns({"Usage": usage, "_weeks": weeks})
+        clean_opportunities(snapshots).withColumns({"Usage": usage, "_weeks": known})
         .withColumn("_to", F.explode(F.array(
             F.struct(week.alias("Week"), F.lit(True).alias("Now")),
             F.struct(next_week.alias("Week"), F.lit(False).alias("Now")),
@@ -164,11 +168,11 @@ def wow_changes(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def wow_measures(snapshots: DataFrame) -> DataFrame:
+def wow_measures(snapshots: DataFrame, weeks: Sequence[int] | None = None) -> DataFrame:
     """The change in usage of each opportunity: now less before, a missing side counting 0, and as a share of the
     usage before (NULL where that is 0 or missing)."""
     now, before = (F.coalesce(c, F.lit(0)) for c in ("Opportunity_Usage", "Previous_Opportunity_Usage"))
-    return wow_changes(snapshots).select(
+    return wow_changes(snapshots, weeks).select(
         "Opportunity_ID", "Snapshot_Week", "Change_Type", "Opportunity_Usage", "Previous_Opportunity_Usage",
         (now - before).alias("Usage_Change"),
         F.try_divide((now - before).cast("double"), F.col("Previous_Opportunity_Usage").cast("double"))
@@ -176,9 +180,9 @@ def wow_measures(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def wow_totals(snapshots: DataFrame) -> DataFrame:
+def wow_totals(snapshots: DataFrame, weeks: Sequence[int] | None = None) -> DataFrame:
     """Opportunities and change in usage by week, category and kind of change."""
     now, before = (F.coalesce(c, F.lit(0)) for c in ("Opportunity_Usage", "Previous_Opportunity_Usage"))
-    return wow_changes(snapshots).groupBy("Snapshot_Week", "Product_Category", "Change_Type").agg(
+    return wow_changes(snapshots, weeks).groupBy("Snapshot_Week", "Product_Category", "Change_Type").agg(
         F.count("*").alias("Opportunities"), F.sum(now - before).alias("Usage_Change")
     )

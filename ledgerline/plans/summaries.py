@@ -43,7 +43,8 @@ def opportunity_summary(tables: Tables) -> DataFrame:
 def create_views(spark: SparkSession, tables: Tables, prefix: str = "", mode: str = CORRECTED) -> list[str]:
     """Register both summaries as temporary views; ``prefix`` goes before their names.
 
-    The views are lazy: each read runs the plan again on what the tables then hold.
+    The views are lazy: each read runs the plan again on what the tables then hold. They end with the session;
+    ``sources.save_summary`` saves a summary as a table that stays.
     """
     views = {
         f"{prefix}Revenue_Summary": revenue_summary(tables, mode),

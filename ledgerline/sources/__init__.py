@@ -1,7 +1,7 @@
 from ledgerline.sources.calendars import fiscal_calendar, small_calendar
 from ledgerline.sources.catalog import ignoring_case, read_tables, tables_from_catalog
-from ledgerline.sources.sinks import write_summary
-from ledgerline.sources.snapshots import previous_week, read_snapshots, weekly_snapshots
+from ledgerline.sources.sinks import save_summary, write_summary
+from ledgerline.sources.snapshots import previous_week, read_snapshots, snapshots_from_catalog, weekly_snapshots
 from ledgerline.sources.tpch import tables_from_tpch
 
 __all__ = [
@@ -10,7 +10,9 @@ __all__ = [
     "previous_week",
     "read_snapshots",
     "read_tables",
+    "save_summary",
     "small_calendar",
+    "snapshots_from_catalog",
     "tables_from_catalog",
     "tables_from_tpch",
     "weekly_snapshots",

@@ -14,3 +14,11 @@ def write_summary(
     """
     writer = df.hint("rebalance", partition_by).write.format(format).mode("overwrite").partitionBy(partition_by)
     writer.option("partitionOverwriteMode", "static" if replace_all else "dynamic").save(path)
+
+
+def save_summary(df: DataFrame, table: str, partition_by: str = "Fiscal_Year", format: str = "parquet") -> None:
+    """Save a summary as a table of the catalog, partitioned by fiscal year, where other sessions find it.
+
+    The views of ``create_views`` end with their session; this stays. An existing table is replaced.
+    """
+    df.hint("rebalance", partition_by).write.format(format).mode("overwrite").partitionBy(partition_by).saveAsTable(table)

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.amounts import parse_amount
-from ledgerline.schemas import MONEY, OPPORTUNITIES
+from ledgerline.schemas import OPPORTUNITIES
+from ledgerline.sources.catalog import tables_from_catalog
 
 
 def weekly_snapshots(by_week: dict[int, DataFrame]) -> DataFrame:
@@ -16,6 +19,11 @@ def weekly_snapshots(by_week: dict[int, DataFrame]) -> DataFrame:
     return stacked
 
 
+def snapshots_from_catalog(spark: SparkSession, weeks: Sequence[int], database: str | None = None) -> DataFrame:
+    """The opportunity tables of several weeks, which carry the week in their names, as weekly snapshots."""
+    return weekly_snapshots({week: tables_from_catalog(spark, week, database).opportunities for week in weeks})
+
+
 def read_snapshots(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """Snapshots stored in folders ``Snapshot_Week=NN``; a filter on the week reads only those folders."""
     columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in OPPORTUNITIES]

@@ -4,13 +4,15 @@ import pytest
 from conftest import bag, goal, opp, sale
 from pyspark.sql import functions as F
 
-from ledgerline.plans import facts, summaries
+from ledgerline.plans import facts, objectives, summaries
 from ledgerline.schemas import SCHEMAS, Tables
 from ledgerline.sources import (
     fiscal_calendar,
     ignoring_case,
     read_snapshots,
     read_tables,
+    save_summary,
+    snapshots_from_catalog,
     tables_from_catalog,
     weekly_snapshots,
     write_summary,
@@ -84,6 +86,25 @@ def test_summary_is_written_by_fiscal_year(spark, small, tmp_path):
     assert one_year.count() == summary.filter("Fiscal_Year = 1999").count()
 
 
+def test_a_summary_and_weeks_outlive_the_session(spark, some, make):
+    spark.sql("create database if not exists kept")
+    summary = summaries.revenue_summary(some)
+    for _ in range(2):
+        save_summary(summary, "kept.Revenue_Report")
+    other = spark.newSession()
+    assert bag(other.table("kept.Revenue_Report").select(*summary.columns)) == bag(summary)
+    assert other.sql("show partitions kept.Revenue_Report").count() > 0
+
+    for week, usage in ((24, "1,000"), (25, "2,000")):
+        week_before = make(opportunities=[opp(1, date(2019, 3, 3), usage)])
+        for table, name in table_names(week).items():
+            getattr(week_before, table).write.mode("overwrite").saveAsTable(f"kept.{name}")
+    weeks = snapshots_from_catalog(spark, (24, 25), database="kept")
+    want = [(25, "Value changed")]
+    assert bag(objectives.wow_changes(weeks), "Snapshot_Week", "Change_Type") == want
+    assert bag(objectives.wow_changes(weeks, (25, 24)), "Snapshot_Week", "Change_Type") == want
+
+
 def test_snapshots_by_week(spark, some, tmp_path):
     weeks = weekly_snapshots({25: some.opportunities, 24: some.opportunities.filter("false")})
     assert bag(weeks, "Snapshot_Week") == [(25,)]
