@@ -42,8 +42,7 @@ def _final(plan):
 
 def test_revenue_is_read_once(spark):
     """The scans under the anchor's subquery and in the main plan end in one and the same shuffle."""
-    from ledgerline.sources import tables_from_tpch
-    plan = _final(executed(summaries.revenue_summary(tables_from_tpch(spark, str(TESTDATA / "sf0.001")))))
+    plan = _final(executed(entry_point.queries()["revenue_summary"](spark, str(TESTDATA / "sf0.001"))))
     by_key = [line for line in plan if "Exchange" in line and re.search(r"Product_Category#\d+(, \d+)?\]?", line)]
     assert any("ReusedExchange" in line for line in by_key)
 
