@@ -139,3 +139,18 @@ def test_tables_open_at_first_use(make):
         Tables(revenue=tables.stores)
     with pytest.raises(AttributeError):
         tables.nothing
+
+
+def test_a_calendar_is_broadcast_up_to_its_limit_only(spark, make, monkeypatch):
+    from ledgerline.sources import calendars
+
+    stored = make().calendar.select("*")
+    plain = spark.createDataFrame(stored.collect(), stored.schema)
+    days = plain.count()
+    seen = {}
+    for limit in (days, days - 1):
+        monkeypatch.setattr(calendars, "BROADCAST_DAYS", limit)
+        made = fiscal_calendar(spark, date(2018, 7, 1), date(2020, 6, 30))
+        hinted = ["ResolvedHint" in df._jdf.queryExecution().analyzed().toString() for df in (made, calendars.small_calendar(plain))]
+        seen[limit] = (hinted, made.count())
+    assert seen == {days: ([True, True], days), days - 1: ([False, False], days)}
