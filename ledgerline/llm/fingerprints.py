@@ -1,7 +1,8 @@
 """Document fingerprints: MinHash with a universal hash function for each coordinate.
 
-A coordinate is the smallest value of (a x + b) over the text's shingles x, mod 2^64, of which the top 16 bits are kept. The
-share of equal coordinates estimates the Jaccard similarity. Bands of the signature, joined in Spark, propose similar
+A coordinate is the smallest value of (a x + b) over the text's shingles x, mod 2^64, of which 16 bits are kept after mixing: the
+top bits of a minimum shrink towards 0 as texts grow, and would agree between unrelated long texts. The share of equal
+coordinates estimates the Jaccard similarity. Bands of the signature, joined in Spark, propose similar
 documents, which are verified on their full shingle sets.
 
 Defined cases: words in any case are told apart; NULL texts are empty; an empty text has no shingles and a fingerprint of its
@@ -44,7 +45,7 @@ def signatures(texts: pa.Array) -> np.ndarray:
             for k in range(COORDINATES):
                 np.multiply(shingles, factors[k], out=hashed)
                 np.add(hashed, terms[k], out=hashed)
-                out[full, k] = (np.minimum.reduceat(hashed, starts) >> np.uint64(48)).astype(np.uint16)
+                out[full, k] = (mix64(np.minimum.reduceat(hashed, starts)) & np.uint64(0xFFFF)).astype(np.uint16)
     return out
 
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,6 +196,12 @@ def test_fingerprints_of_edited_texts(odd):
     assert found[5].near_next == 1.0 and found[8].near_next < 0.2
 
 
+def test_fingerprints_of_unrelated_very_long_texts_differ():
+    for length in (20_000, 150_000, 400_000):
+        a, b = fingerprints.signatures(pa.array([" ".join(f"{name}{i}" for i in range(length)) for name in "ab"]))
+        assert fingerprints.likeness(a, b) < 0.05
+
+
 def test_line_dedup(odd):
     found = {r.doc_id: r for r in line_dedup.digest(odd).collect()}
     keep = hashlib.sha256(b"end<|endoftext|>\xc3\xa9").hexdigest()
