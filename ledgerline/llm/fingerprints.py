@@ -5,9 +5,10 @@ top bits of a minimum shrink towards 0 as texts grow, and would agree between un
 coordinates estimates the Jaccard similarity. Bands of the signature, joined in Spark, propose similar
 documents, which are verified on their full shingle sets.
 
-Defined cases: words in any case are told apart; NULL texts are empty; an empty text has no shingles and a fingerprint of its
-own; a text of fewer words than a shingle is one shingle; equal texts have equal fingerprints; an empty table gives no rows. In
-the order of documents, rows that share a doc_id go by text, and NULL ids come last; if all are NULL, the last has no next.
+Defined cases: words in any case are told apart by fingerprints, but not by ``similar``; NULL texts are empty; an empty text
+has no shingles and a fingerprint of its own; a text of fewer words than a shingle is one shingle; equal texts have equal
+fingerprints; an empty table gives no rows. In the order of documents, rows that share a doc_id go by text, and NULL ids come
+last; if all are NULL, the last has no next.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, mix64, odd_constants, pieces, shingle_hashes, text_of, word_hashes
-from ledgerline.llm.links import link_components
-from ledgerline.llm.minhash import sets_in
+from ledgerline.llm.common import mix64, odd_constants, pieces, shingle_hashes, text_of, word_hashes
+from ledgerline.llm.minhash import labelled, sketched
 
 COORDINATES = 128
 BANDS, ROWS = 32, 4
@@ -33,19 +33,26 @@ ROWS_IN_RANGE, LEAST_RANGES, MOST_RANGES = 2_000, 64, 10_000
 STREAMED_BYTES = 1 << 18
 
 
+def minima(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of 16-bit coordinates for each of the consecutive runs of shingles, none of them empty."""
+    factors, terms = odd_constants(COORDINATES, seed=81), odd_constants(COORDINATES, seed=82)
+    out, hashed = np.empty((len(starts), COORDINATES), np.uint16), np.empty_like(shingles)
+    with np.errstate(over="ignore"):
+        for k in range(COORDINATES):
+            np.multiply(shingles, factors[k], out=hashed)
+            np.add(hashed, terms[k], out=hashed)
+            out[:, k] = (mix64(np.minimum.reduceat(hashed, starts)) & np.uint64(0xFFFF)).astype(np.uint16)
+    return out
+
+
 def signatures(texts: pa.Array) -> np.ndarray:
     """A row of 16-bit coordinates for each text; all ones for a text without words."""
-    factors, terms = odd_constants(COORDINATES, seed=81), odd_constants(COORDINATES, seed=82)
     with np.errstate(over="ignore"):
         shingles, ends = shingle_hashes(*word_hashes(texts, lower=False))
-        out = np.full((len(texts), COORDINATES), 0xFFFF, np.uint16)
-        full = np.flatnonzero(np.diff(ends))
-        if len(full):
-            starts, hashed = ends[:-1][full], np.empty_like(shingles)
-            for k in range(COORDINATES):
-                np.multiply(shingles, factors[k], out=hashed)
-                np.add(hashed, terms[k], out=hashed)
-                out[full, k] = (mix64(np.minimum.reduceat(hashed, starts)) & np.uint64(0xFFFF)).astype(np.uint16)
+    out = np.full((len(texts), COORDINATES), 0xFFFF, np.uint16)
+    full = np.flatnonzero(np.diff(ends))
+    if len(full):
+        out[full] = minima(shingles, ends[:-1][full])
     return out
 
 
@@ -140,29 +147,10 @@ def fingerprints(documents: DataFrame) -> DataFrame:
 
 
 def similar(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``doc_id``, ``component_id`` of the documents linked by bands of their fingerprints and verified shingle sets.
+    """A row for each document: ``doc_id``, ``component_id``, the smallest doc_id reachable by links; its own if it has none.
 
-    Documents of the same fingerprint are compared like others, through the smallest of them. Words count in lower case (A-Z)
-    in the verification.
+    Words count in lower case (A-Z) in the signatures whose bands propose links, as in the verification on full shingle sets.
+    Documents of equal shingle sets are one. A NULL doc_id has a NULL component.
     """
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salts = odd_constants(COORDINATES, seed=83).reshape(BANDS, ROWS)
-        for batch in batches:
-            marks = [np.frombuffer(bytes.fromhex(m), ">u2") for m in batch.column("fingerprint").to_pylist()]
-            if not marks:
-                continue
-            values = np.stack(marks)
-            with np.errstate(over="ignore"):
-                sums = (values.reshape(-1, BANDS, ROWS).astype(np.uint64) * salts).sum(axis=2, dtype=np.uint64)
-                bands = mix64(sums + np.arange(1, BANDS + 1, dtype=np.uint64) * salts[0, 0])
-            lists = pa.ListArray.from_arrays(np.arange(len(marks) + 1, dtype=np.int32) * BANDS, pa.array(bands.view(np.int64).ravel()))
-            sig = pa.array([(v >> 8).astype(np.uint8).tobytes() for v in values], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("node"), lists, sig], ["node", "bands", "sig"])
-
-    marks = fingerprints(documents).filter("doc_id is not null")
-    empty = "f" * (4 * COORDINATES)
-    firsts = marks.filter(F.col("fingerprint") != empty).groupBy("fingerprint").agg(F.min("doc_id").alias("node"))
-    firsts = cut(firsts)
-    sketches = cut(firsts.select("node", "fingerprint").mapInArrow(banded, "node long, bands array<long>, sig binary"))
-    found = link_components(sketches, sets_in(documents), percent, COORDINATES)
-    return marks.join(firsts, "fingerprint").join(found, "node").select("doc_id", F.col("component").alias("component_id"))
+    sketch = sketched(documents, minima, BANDS, ROWS)
+    return labelled(documents, sketch, percent, COORDINATES).select("doc_id", "component_id")

@@ -11,7 +11,7 @@ one document; a NULL doc_id has a NULL component, and is kept; an empty table gi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,33 +44,40 @@ def circulant_signatures(shingles: np.ndarray, starts: np.ndarray, coordinates:
     return out
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    salts = odd_constants(BANDS * ROWS, seed=3).reshape(BANDS, ROWS)
-    for batch in pieces(batches, limit=1 << 18):
-        with np.errstate(over="ignore"):
-            words, word_starts = word_hashes(batch.column("text"), lower=True)
-            shingles, starts = shingle_hashes(words, word_starts)
-            sets = [np.unique(shingles[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            full = np.flatnonzero(sizes)
-            bands = np.zeros((len(sets), BANDS), np.uint64)
-            sig = np.zeros((len(sets), BANDS * ROWS), np.uint8)
-            keys: list[bytes | None] = [None] * len(sets)
-            if len(full):
-                flat = np.concatenate([sets[i] for i in full])
-                begins = np.r_[0, np.cumsum(sizes[full])][:-1]
-                values = circulant_signatures(flat, begins)
-                banded = (values.reshape(-1, BANDS, ROWS).astype(np.uint64) * salts).sum(axis=2, dtype=np.uint64)
-                bands[full] = mix64(banded + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                sig[full] = (values >> 24).astype(np.uint8)
-                sums = np.stack([np.add.reduceat(mix64(flat ^ salt), begins) for salt in salts[0, :2]], axis=1)
-                for i, pair in zip(full, sums, strict=True):
-                    keys[i] = pair.tobytes()
-        yield pa.RecordBatch.from_arrays([
-            batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(keys, pa.binary()),
-            pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(bands.view(np.int64).ravel())),
-            pa.array([s.tobytes() for s in sig], pa.binary()),
-        ], ["doc_id", "n_shingles", "set_key", "bands", "sig"])
+def sketched(
+    documents: DataFrame, signatures_of: Callable[[np.ndarray, np.ndarray], np.ndarray], bands_of: int, rows_of: int,
+) -> DataFrame:
+    """A sketch of each document, of signatures that ``signatures_of`` makes of runs of shingles, in bands."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salts = odd_constants(bands_of * rows_of, seed=3).reshape(bands_of, rows_of)
+        for batch in pieces(batches, limit=1 << 18):
+            with np.errstate(over="ignore"):
+                words, word_starts = word_hashes(batch.column("text"), lower=True)
+                shingles, starts = shingle_hashes(words, word_starts)
+                sets = [np.unique(shingles[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+                sizes = np.array([len(s) for s in sets], np.int64)
+                full = np.flatnonzero(sizes)
+                bands = np.zeros((len(sets), bands_of), np.uint64)
+                sig = np.zeros((len(sets), bands_of * rows_of), np.uint8)
+                keys: list[bytes | None] = [None] * len(sets)
+                if len(full):
+                    flat = np.concatenate([sets[i] for i in full])
+                    begins = np.r_[0, np.cumsum(sizes[full])][:-1]
+                    values = signatures_of(flat, begins)
+                    banded = (values.reshape(-1, bands_of, rows_of).astype(np.uint64) * salts).sum(axis=2, dtype=np.uint64)
+                    bands[full] = mix64(banded + np.arange(1, bands_of + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    sig[full] = (values >> (8 * values.itemsize - 8)).astype(np.uint8)
+                    sums = np.stack([np.add.reduceat(mix64(flat ^ salt), begins) for salt in salts[0, :2]], axis=1)
+                    for i, pair in zip(full, sums, strict=True):
+                        keys[i] = pair.tobytes()
+            lists = pa.ListArray.from_arrays(
+                np.arange(len(sets) + 1, dtype=np.int32) * bands_of, pa.array(bands.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(keys, pa.binary()), lists,
+                pa.array([s.tobytes() for s in sig], pa.binary()),
+            ], ["doc_id", "n_shingles", "set_key", "bands", "sig"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +103,13 @@ def sets_in(documents: DataFrame):
 
 def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row for each document: ``doc_id``, ``n_shingles``, ``component_id`` (smallest doc_id reachable by links), ``kept``."""
-    sketch = cut(documents.select("doc_id", "text").mapInArrow(_sketched, SKETCH))
+    result = labelled(documents, sketched(documents, circulant_signatures, BANDS, ROWS), percent, BANDS * ROWS)
+    return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def labelled(documents: DataFrame, sketch: DataFrame, percent: int, coordinates: int) -> DataFrame:
+    """A row for each document of the sketch: ``doc_id``, ``n_shingles``, ``component_id``."""
+    sketch = cut(sketch)
     linkable = sketch.filter("set_key is not null and doc_id is not null")
     nodes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     nodes = cut(nodes)
@@ -105,7 +118,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         linkable.join(nodes, "set_key").filter("doc_id = node")
         .groupBy("set_key", "node").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     )
-    found = link_components(firsts, sets_in(documents), percent, BANDS * ROWS)
+    found = link_components(firsts, sets_in(documents), percent, coordinates)
     # Copies of a set follow its node; an id with several sets joins them.
     several = distinct_rows(by_id.select("doc_id", "node")).groupBy("doc_id").agg(
         F.min("node").alias("node"), F.max("node").alias("high")).filter("node != high").select("doc_id")
@@ -114,11 +127,10 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
         own = by_id.join(several, "doc_id", "left_semi")
         known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
         found = components(known.unionByName(distinct_rows(own.select(F.col("node").alias("a"), F.col("doc_id").alias("b")))))
-    labelled = nodes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
-    result = sketch.select("doc_id", "n_shingles", "set_key").join(labelled, "set_key", "left")
+    of_sets = nodes.join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
+    result = sketch.select("doc_id", "n_shingles", "set_key").join(of_sets, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"))
 
 
 def without_near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -202,6 +202,23 @@ def test_fingerprints_of_unrelated_very_long_texts_differ():
         assert fingerprints.likeness(a, b) < 0.05
 
 
+def test_similar_documents_equal_brute_force(spark, odd):
+    base = [f"Word{i}" for i in range(200)]
+    rows = [(i, t) for i, t, _, _ in ODD] + [
+        (20, " ".join(base)), (21, " ".join(base).upper()), (22, " ".join(base)), (23, " ".join([*base[:190], "x", "y"])),
+        (24, " ".join(base[:100])), (30, "short"), (31, "SHORT"), (40, " ".join(f"a{i}" for i in range(150_000))),
+        (41, " ".join(f"b{i}" for i in range(150_000)))]
+    sets = [shingles(t) for _, t in rows]
+    label = [i for i, _ in rows]
+    for _ in range(3):
+        for j, a in enumerate(sets):
+            for k, b in enumerate(sets):
+                if None not in (label[j], label[k]) and a and 100 * len(a & b) >= 80 * len(a | b):
+                    label[j] = label[k] = min(label[j], label[k])
+    found = fingerprints.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, found))) == sorted(repr((i, c)) for (i, _), c in zip(rows, label, strict=True))
+
+
 def test_line_dedup(odd):
     found = {r.doc_id: r for r in line_dedup.digest(odd).collect()}
     keep = hashlib.sha256(b"end<|endoftext|>\xc3\xa9").hexdigest()
