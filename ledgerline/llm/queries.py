@@ -51,6 +51,7 @@ QUERIES = {
     "op6_quality_rules": _over(quality_rules.digest, "documents", "labels"),
     "op7_extract_pages": _over(extraction.extracted, "pages"),
     "op8_fingerprints": _over(fingerprints.compared, "documents"),
+    "op8_similar_documents": _over(fingerprints.similar, "documents"),
     "op9_line_dedup": _over(line_dedup.digest, "documents"),
     "op10_bpe": _over(lambda documents: bpe.digest(documents, tokenizer_path()), "documents"),
 }

@@ -23,7 +23,7 @@ from ledgerline.llm import (
     sharding,
 )
 from ledgerline.llm.common import ship
-from ledgerline.llm.queries import tokenizer_path
+from ledgerline.llm.queries import QUERIES, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, row string, label int, words int"
 LONG = " ".join(f"w{i}" for i in range(12_000))
@@ -219,6 +219,14 @@ def test_similar_documents_equal_brute_force(spark, odd):
     assert sorted(map(repr, map(tuple, found))) == sorted(repr((i, c)) for (i, _), c in zip(rows, label, strict=True))
 
 
+def test_similar_documents_are_a_query_over_the_whole_table(spark):
+    sf = str(TESTDATA / "sf0.001")
+    found = QUERIES["op8_similar_documents"](spark, sf).collect()
+    ids = [r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()]
+    assert sorted(r.doc_id for r in found) == sorted(ids)
+    assert all(r.component_id <= r.doc_id for r in found)
+
+
 def test_line_dedup(odd):
     found = {r.doc_id: r for r in line_dedup.digest(odd).collect()}
     keep = hashlib.sha256(b"end<|endoftext|>\xc3\xa9").hexdigest()
