@@ -14,6 +14,9 @@ from ledgerline.llm import bpe, line_dedup, minhash, mixing, quality_rules
 from ledgerline.llm.common import ship
 from ledgerline.llm.queries import table, tokenizer_path
 
+# The Jaccard similarity, in percent, from which documents are near duplicates here; that of op4 is its own.
+NEAR_PERCENT = 80
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -30,7 +33,7 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
     ship(spark)
-    return minhash.without_near_duplicates(docs)
+    return minhash.without_near_duplicates(docs, percent=NEAR_PERCENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

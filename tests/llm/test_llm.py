@@ -263,6 +263,17 @@ def test_conversations_in_blocks_and_odd_rows(spark, odd, monkeypatch):
     assert chat.marker_of("### Assistant: yes") == ("assistant", "yes") and chat.marker_of("users: x")[0] is None
 
 
+def test_pipeline_drops_near_duplicates_from_080(spark):
+    import corpus_pipeline
+
+    base = [f"b{i}" for i in range(200)]
+    near = ["x" if i in (40, 80, 120, 160) else w for i, w in enumerate(base)]
+    a, b = shingles(" ".join(base)), shingles(" ".join(near))
+    assert 0.80 < len(a & b) / len(a | b) < 0.85
+    documents = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, documents, "").collect()] == [1]
+
+
 def test_pipeline_equals_its_stages_by_brute_force(spark):
     import corpus_pipeline
 
