@@ -58,7 +58,8 @@ def revenue_vs_target(tables: Tables) -> DataFrame:
 
 def forecast(tables: Tables) -> DataFrame:
     """Per month: Revenue + Partner_Fee up to the anchor month, Baseline + run-rate after it, and the running total
-    over the fiscal year.
+    over the fiscal year. Amounts without a month of the calendar are a row of their own, with a NULL month: Actual, as nothing
+    is expected of no month. It is left out if it has no amounts, as where only pipeline lacks a month.
 
     The window runs over month totals, a row per month, never over the facts.
     """
@@ -66,9 +67,10 @@ def forecast(tables: Tables) -> DataFrame:
     merged, anchor = facts_and_anchor(tables, measures)
     monthly = (
         merged.groupBy("Fiscal_Month").agg(*[F.sum(m).alias(m) for m in measures])
-        .join(month_attributes(tables.calendar), "Fiscal_Month")
+        .join(month_attributes(tables.calendar), "Fiscal_Month", "left")
+        .filter(" or ".join(["Month_ID is not null", *[f"{m} != 0" for m in measures]]))
     )
-    is_actual = F.col("Month_ID") <= F.col("_anchor.Month_ID")
+    is_actual = F.col("Month_ID").isNull() | (F.col("Month_ID") <= F.col("_anchor.Month_ID"))
     amount = F.when(is_actual, F.col("Revenue") + F.col("Partner_Fee")).otherwise(
         F.col("Baseline") + F.col("Opportunity_Into_RR")
     )

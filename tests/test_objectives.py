@@ -33,6 +33,15 @@ def test_forecast_joins_actuals_to_expectations(make):
     ]
 
 
+def test_forecast_keeps_amounts_without_a_month(make):
+    t = make([sale(1, DEC, 10), sale(1, JAN, 4), sale(1, None, 7), sale(1, None, 2, "Partner Fee"), sale(1, date(2001, 1, 1), 1)],
+             targets=[goal(1, None, 3)])
+    rows = objectives.forecast(t).collect()
+    undated = [r for r in rows if r.Fiscal_Month is None]
+    assert [(r.Kind, int(r.Amount), int(r.Year_To_Date), r.Month_ID) for r in undated] == [("Actual", 10, 10, None)]
+    assert sum(r.Amount for r in rows if r.Kind == "Actual") == 24 and len(rows) == 8
+
+
 def test_slices_tell_totals_from_missing_attributes(small):
     cube = objectives.slices(small, ["Segment"], ["Revenue"])
     by_segment = cube.filter("Grouping_ID = 0")
