@@ -1,9 +1,9 @@
 """The main text of web pages, without what their site repeats.
 
 Every page is read into a tree, and every element gets a hash of its subtree. Spark counts, for each host, on how many pages of
-different main text a subtree stands; those on many are the site's template, and are deleted. Deleted too are elements that are
-no article by their tag, role, class or id. What is left of the page's articles (else of its main part, else of its body) is the
-text: a line for each block.
+different main text a subtree stands; those on many (a number, whatever the size of the host) are the site's template, and are deleted. Deleted too are elements that are
+no article by their tag, role, class or id. What is left of the page's main parts and of articles outside them (else of the
+smallest element that holds all articles, else of the page) is the text: a line for each block.
 
 Paragraphs, headings and the like within an article are never taken for template: texts may quote each other, and pages may be
 copies. Copies of a page count once.
@@ -24,9 +24,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import cut, distinct_rows, pieces, sized
+from ledgerline.llm.common import cut, pieces, sized
 
-MANY_PAGES, MANY_PERCENT = 5, 5
+MANY_PAGES = 5
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -178,19 +178,39 @@ def _inner(roots: list[Element], dropped) -> Iterator[Element | str | None]:
             yield part
 
 
+def _is_main(element: Element) -> bool:
+    return element.tag == "main" or (
+        "main" in element.attributes and re.search(r"role\s*=\s*[\"']?main\b", element.attributes) is not None)
+
+
+def _roots(elements: list[Element]) -> list[Element]:
+    """Of elements in page order the outermost main parts and articles; without main parts what holds all articles."""
+    covered: set[int] = set()  # elements that are in a root, or are one
+    roots = []
+    for element in elements:
+        if id(element.parent) in covered:
+            covered.add(id(element))
+        elif element.tag == "article" or _is_main(element):
+            covered.add(id(element))
+            roots.append(element)
+    if len(roots) < 2 or any(map(_is_main, elements)):
+        return roots
+    paths = []
+    for element in roots:
+        path = [element]
+        while path[-1].parent is not None:
+            path.append(path[-1].parent)
+        paths.append(path[::-1])
+    common = [level[0] for level in zip(*paths, strict=False) if all(e is level[0] for e in level)]
+    return common[-1:]
+
+
 def main_text(root: Element, template: frozenset[int] | set[int] = frozenset()) -> str:
-    """The blocks of the page's articles, joined by line ends."""
+    """The blocks of the page's main parts or articles, joined by line ends."""
     def dropped(element: Element) -> bool:
         return _is_no_article(element) or (element.hash in template and _may_be_template(element))
 
-    articles, mains, depth = [], [], 0
-    for part in _inner([root], dropped):
-        if isinstance(part, Element):
-            if part.tag == "article" and not part.within:
-                articles.append(part)
-            elif part.tag == "main" or "main" in part.attributes and re.search(r"role\s*=\s*[\"']?main\b", part.attributes):
-                mains.append(part)
-    roots = articles or mains[:1] or [root]
+    roots = _roots([part for part in _inner([root], dropped) if isinstance(part, Element)]) or [root]
     blocks, line = [], []
 
     def flush() -> None:
@@ -263,9 +283,7 @@ def site_templates(pages: DataFrame) -> DataFrame:
     rows = trees.select("page_id", "html_hash", "host", "body", F.explode("hashes").alias("hash"))
     once = rows.groupBy("host", "hash", "body").agg(F.count("*").alias("n"))
     counted = once.groupBy("host", "hash").agg(F.count("*").alias("pages")).filter(F.col("pages") >= MANY_PAGES)
-    hosts = distinct_rows(trees.select("host", "body")).groupBy("host").agg(F.count("*").alias("host_pages"))
-    repeated = counted.join(hosts, "host").filter(100 * F.col("pages") >= MANY_PERCENT * F.col("host_pages"))
-    repeated = sized(cut(repeated.select("host", "hash")))
+    repeated = sized(cut(counted.select("host", "hash")))
     return rows.join(repeated, ["host", "hash"]).groupBy("page_id", "html_hash").agg(F.collect_set("hash").alias("template"))
 
 

@@ -185,6 +185,17 @@ def test_pages(spark, odd):
     assert [found[30 + i].text for i in range(6)] == [f"own {i}" for i in range(6)]
 
 
+def test_pages_of_several_main_parts_and_blocks_on_few_pages_of_a_large_host(spark):
+    parts = ("<body><div>skip<nav>menu</nav></div><main><p>lead</p><article><p>one</p></article><p>after</p></main>"
+             "<div role=main><p>second</p></div><article><p>apart</p></article></body>")
+    assert extraction.main_text(extraction.parse(parts)) == "lead\none\nafter\nsecond\napart"
+    apart = "<body><p>out</p><div><article><p>one</p></article><p>between</p><nav>x</nav><article><p>two</p></article></div></body>"
+    assert extraction.main_text(extraction.parse(apart)) == "one\nbetween\ntwo"
+    rows = [(i, "https://large.example/", ("<div>Told on some pages</div>" if i < 6 else "") + f"<p>own {i}</p>") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.text for r in extraction.extracted(pages).collect()} == {f"own {i}" for i in range(300)}
+
+
 def test_fingerprints_of_edited_texts(odd):
     found = {r.doc_id: r for r in fingerprints.compared(odd.dropDuplicates(["doc_id"])).collect()}
     order = [(i, t or "") for i, t in sorted({i: t for i, t, _, _ in ODD}.items(), key=lambda x: (x[0] is None, x[0] or 0))]
