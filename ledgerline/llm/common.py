@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -11,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,24 @@ def ship(spark: SparkSession) -> None:
     context._llm_shipped = True
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Gives the executors a file of the driver's, once for each application, and tells its name there."""
+    context = spark.sparkContext
+    files = context.__dict__.setdefault("_llm_files", {})
+    name = Path(path).name
+    if name not in files:
+        context.addFile(path)
+        files[name] = path
+    elif files[name] != path:
+        raise ValueError(f"another file of the name {name} was shipped before: {files[name]}")
+    return name
+
+
+def shipped_path(name: str) -> str:
+    """Where a task finds a file that ``shipped`` sent."""
+    return SparkFiles.get(name)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, empty where it is NULL."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -54,14 +74,46 @@ def lower_ascii(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it; a temporary one only where all is one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context = spark.sparkContext
+    if not hasattr(context, "_llm_folder"):
+        context._llm_folder = tempfile.mkdtemp()
+    return context._llm_folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the folder that all executors share: later plans start from there, and survive lost executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+class Scratch:
+    """Tables written to the shared folder, each in place of the one before it, which is then deleted."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4()}", 0
+
+    def replaced(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        if self.count:
+            self._delete(f"{self.folder}/{self.count - 1}")
+        self.count += 1
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _delete(self, path: str) -> None:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """The small side of a join, of a few short columns: broadcast if it has at most ``limit`` rows, else left to Spark.
 

@@ -78,4 +78,76 @@ select doc_id, count(*) as n_lines, cast(sum(case when gone then 1 else 0 end) a
 from marked group by doc_id
 """
 
-EXPECTED = {"op2_mix_sources": OP2, "op4_near_duplicates": OP4, "op9_line_dedup": OP9}
+OP11 = r"""
+with docs as (
+  select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+found as (
+  select d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term from found group by lang, term having count(distinct d) >= 3),
+groups as (select distinct lang, source from docs),
+counted as (select lang, source, term, count(*) as n from found group by all),
+grid as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n
+  from groups g join kept k using (lang) left join counted c using (lang, source, term)),
+p_group as (
+  select *, 1 + (1000000000::hugeint * (n + 1)) // (sum(n) over one + count(*) over one) as p
+  from grid window one as (partition by lang, source)),
+by_lang as (select lang, term, sum(n) as n from grid group by all),
+p_lang as (
+  select *, 1 + (1000000000::hugeint * (n + 1)) // (sum(n) over one + count(*) over one) as q
+  from by_lang window one as (partition by lang)),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join p_group x on x.lang = a.lang and x.source = a.source
+  left join p_group y on y.lang = b.lang and y.source = b.source and y.term = x.term
+  group by all),
+terms as (
+  select x.lang, x.source, x.term as item, (x.p - y.q) * (x.p - y.q) // y.q as value
+  from p_group x join p_lang y using (lang, term) where x.n > 0 and x.p > y.q),
+parts as (
+  select lang, source, 'pair' as part, item, value from pairs union all
+  select lang, source, 'term', item, value from terms)
+select lang, source, part, item, cast(value as bigint) as value, cast(place as integer) as rank
+from (select *, row_number() over (partition by lang, source, part order by value desc, item) as place from parts)
+where part = 'pair' or place <= 200
+"""
+
+
+def _op13(rounds: int = 5, clusters: int = 40, seed: int = 2) -> str:
+    nearest = """
+  select vec_id, row, arg_min(cluster, (distance, cluster)) as cluster, min(distance) as distance from (
+    select v.vec_id, v.row, c.cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as distance
+    from whole v, {} c) group by vec_id, row"""
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""near{i} as ({nearest.format(f'c{i}')}),
+sums{i} as (
+  select cluster, place, sum(x) as s, count(*) as n from (
+    select cluster, unnest(x) as x, generate_subscripts(x, 1) as place from near{i} join whole using (row)) group by all),
+c{i + 1} as (
+  select c.cluster, coalesce(m.x, c.x) as x from c{i} c left join (
+    select cluster, list(cast((s - ((s % n) + n) % n) // n as bigint) order by place) as x from sums{i} group by cluster) m
+  using (cluster))""")
+    return f"""
+with whole as (
+  select vec_id, row_number() over () as row, list_transform(embedding, lambda e: cast(floor(256 * cast(e as double)) as bigint)) as x
+  from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda e: e is not null and isfinite(e))) = 64),
+c0 as (
+  select cast(row_number() over (order by sha256('{seed}:' || vec_id)) - 1 as integer) as cluster, x from whole
+  qualify row_number() over (order by sha256('{seed}:' || vec_id)) <= {clusters}),
+{', '.join(steps)},
+final as ({nearest.format(f'c{rounds}')})
+select vec_id, cluster, cast(distance as bigint) as distance,
+  cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia,
+  sha256(array_to_string(c.x, ',')) as centroid_sha256
+from final join c{rounds} c using (cluster)
+"""
+
+
+EXPECTED = {
+    "op2_mix_sources": OP2, "op4_near_duplicates": OP4, "op9_line_dedup": OP9, "op11_source_divergence": OP11,
+    "op13_centroids": _op13(),
+}

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import (
     bpe,
+    centroids,
     chat,
+    divergence,
     extraction,
     fingerprints,
     line_dedup,
@@ -16,18 +18,20 @@ from ledgerline.llm import (
     mixing,
     quality_model,
     quality_rules,
+    secret_scan,
     sharding,
 )
 from ledgerline.llm.common import ship
 from ledgerline.llm.expected import EXPECTED
 
 TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +58,9 @@ QUERIES = {
     "op8_similar_documents": _over(fingerprints.similar, "documents"),
     "op9_line_dedup": _over(line_dedup.digest, "documents"),
     "op10_bpe": _over(lambda documents: bpe.digest(documents, tokenizer_path()), "documents"),
+    "op11_source_divergence": _over(divergence.divergences, "documents"),
+    "op12_secret_scan": _over(lambda documents: secret_scan.digest(documents, tokenizer_path(RANKS)), "documents"),
+    "op13_centroids": _over(centroids.clustered, "embeddings"),
 }
 
 
