@@ -35,7 +35,7 @@ LEAST_DOCUMENTS = 3
 SCALE = 1_000_000_000
 TOP_TERMS = 200
 # Bounds of a task's block: counts held at once, and sums of pairs given out.
-CELLS = 1 << 20
+CELLS = 1 << 17
 PAIRS = 1 << 20
 PIECE = 4 << 20
 # Counts below this stay within a long when multiplied by SCALE.
