@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerline.functions.amounts import zero_if_negative
 from ledgerline.operators.fiscal import on_day, with_anchor
 from ledgerline.operators.keys import COPIES, CORRECTED, check_mode
-from ledgerline.operators.merge import one_row_per_key
+
+# The type of a sum of amounts.
+RUNNING = T.DecimalType(38, 6)
 
 
 def _on_months(df: DataFrame, months: Column, *columns) -> DataFrame:
@@ -51,12 +54,40 @@ def baseline_average(lines: DataFrame, calendar: DataFrame, anchor: DataFrame, m
 def spread_runrate(future_opportunities: DataFrame, anchor: DataFrame, mode: str = CORRECTED) -> DataFrame:
     """The usage of each account, category and estimate month, on every future month from its own on; 0 if negative.
 
-    As written, one row per estimate month remains, so that a key can repeat. Corrected mode sums them.
+    As written, one row per estimate month remains, so that a key can repeat. Corrected mode sums them: the estimate months
+    of an account and category, at most twelve, are shuffled as they are and gathered in an array, and one running sum over
+    the future months gives each its amount. So there is no row for each pair of months, and none is shuffled.
     """
-    own = F.col("Month_ID")
-    rows = _on_months(
-        with_anchor(future_opportunities, anchor),
-        F.filter("_anchor.Future_Months", lambda month: month["Month_ID"] >= own),
-        zero_if_negative(F.col("Opportunity_Usage")).alias("Opportunity_Into_RR"),
-    )
-    return rows if check_mode(mode) else one_row_per_key(rows)
+    clamped = zero_if_negative(F.col("Opportunity_Usage"))
+    if check_mode(mode):
+        own = F.col("Month_ID")
+        return _on_months(
+            with_anchor(future_opportunities, anchor),
+            F.filter("_anchor.Future_Months", lambda month: month["Month_ID"] >= own),
+            clamped.alias("Opportunity_Into_RR"),
+        )
+    amounts = future_opportunities.groupBy("Account_No", "Product_Category").agg(
+        F.collect_list(F.struct(F.col("Month_ID"), clamped.alias("Amount"))).alias("_amounts"))
+    return _on_months(
+        with_anchor(amounts, anchor), running_sums(F.col("_anchor.Future_Months"), F.col("_amounts")),
+        F.col("_month.Total").alias("Opportunity_Into_RR"))
+
+
+def running_sums(months: Column, amounts: Column) -> Column:
+    """Of ``months`` in order of their Month_ID, those from the first of ``amounts`` (Month_ID, Amount) on, each with ``Total``:
+    the sum of the amounts up to it. An amount counts once, in the step from the month before."""
+    total = F.lit(0).cast(RUNNING)
+    out = "array<struct<Month_ID:int,Fiscal_Month:string,Total:decimal(38,6)>>"
+    start = F.struct(total.alias("Total"), F.lit(None).cast("int").alias("Upto"), F.array().cast(out).alias("Months"))
+
+    def step(state: Column, month: Column) -> Column:
+        new = F.filter(amounts, lambda a: (a["Month_ID"] <= month["Month_ID"])
+                       & (F.isnull(state["Upto"]) | (a["Month_ID"] > state["Upto"])))
+        now = F.aggregate(new, state["Total"], lambda sum_, a: (sum_ + a["Amount"]).cast(RUNNING))
+        row = F.struct(month["Month_ID"].cast("int").alias("Month_ID"), month["Fiscal_Month"].alias("Fiscal_Month"),
+                       now.alias("Total"))
+        return F.struct(now.alias("Total"), month["Month_ID"].cast("int").alias("Upto"),
+                        F.concat(state["Months"], F.array(row)).alias("Months"))
+
+    first = F.array_min(F.transform(amounts, lambda a: a["Month_ID"]))
+    return F.filter(F.aggregate(months, start, step, lambda state: state["Months"]), lambda m: m["Month_ID"] >= first)

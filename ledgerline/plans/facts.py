@@ -95,14 +95,14 @@ def all_facts_joined(tables: Tables, mode: str = CORRECTED) -> DataFrame:
 # --- all of them, reading each source once ------------------------------------------------------------------------
 
 
-def _sold(tables: Tables, measures: Sequence[str], as_written: bool) -> DataFrame:
+def _sold(tables: Tables, measures: Sequence[str], as_written: bool, by: Sequence[str] = KEYS) -> DataFrame:
     """Revenue by account, month and category, and the last date with any non-zero revenue in it."""
     nonzero = F.when(F.col("Revenue") != 0, F.col("Month"))
     lines = revenue_lines(tables.revenue.withColumn("Last_Date", nonzero), "Last_Date")
     if not as_written:
         lines = lines.withColumnRenamed("Fiscal_Month", "Revenue_Date")
         lines = on_day(lines, "Revenue_Date", tables.calendar, "Fiscal_Month")
-    return lines.groupBy(*KEYS).agg(*[F.sum(m).alias(m) for m in measures], F.max("Last_Date").alias("Last_Date"))
+    return lines.groupBy(*by).agg(*[F.sum(m).alias(m) for m in measures], F.max("Last_Date").alias("Last_Date"))
 
 
 def _anchor_of_sums(sold: DataFrame, tables: Tables, measures: Sequence[str]) -> DataFrame:
@@ -211,6 +211,41 @@ def facts_and_anchor(tables: Tables, measures: Sequence[str] = MEASURES) -> tupl
     return totals.select(*KEYS, *_or_zero(totals, measures)), anchor
 
 
+def stacked_facts(tables: Tables, measures: Sequence[str] = MEASURES) -> DataFrame:
+    """The rows that ``all_facts`` sums by key, not summed: for totals of fewer columns, which are sums of these as well."""
+    landed, _ = _landed(tables, measures)
+    targets = align_targets(tables.targets, tables.calendar)
+    stacked = landed.unionByName(targets, allowMissingColumns=True)
+    return stacked.select(*KEYS, *measures)
+
+
+def month_totals(tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """``Fiscal_Month``, ``Sold`` (Revenue + Partner_Fee) and ``Expected`` (Baseline + run-rate) of every month with any fact,
+    and the anchor.
+
+    Revenue and baseline are sums of revenue, so they are summed by month at once; only the run-rate is clamped by key, and so
+    needs its keys first. A month that has targets alone counts as one with facts.
+    """
+    fees = ("Revenue", "Partner_Fee")
+    sold = _sold(tables, fees, as_written=False, by=("Fiscal_Month",))
+    anchor = _anchor_of_sums(sold, tables, fees)
+    amount = F.col("Revenue") + F.col("Partner_Fee")
+    seen = F.col("Last_Date").isNull() | (F.col("Last_Date") <= F.col("_anchor.Anchor_Date"))  # see _landed
+    revenue = with_anchor(sold, anchor)
+    own = revenue.select("Fiscal_Month", amount.alias("Sold"))
+    base = revenue.filter((F.col("Fiscal_Month") == F.col("_anchor.Fiscal_Month")) & seen).select(
+        F.explode("_anchor.Future_Months").alias("_month"), amount.alias("Expected"))
+    ahead, estimate = _pipeline(tables, anchor), F.col("Month_ID")
+    later = F.filter("_anchor.Future_Months", lambda month: month["Month_ID"] >= estimate)
+    rate = with_anchor(ahead.filter("Ahead is not null"), anchor).select(
+        F.explode(later).alias("_month"), zero_if_negative(F.col("Ahead")).alias("Expected"))
+    expected = base.unionByName(rate).select(F.col("_month.Fiscal_Month").alias("Fiscal_Month"), "Expected")
+    present = align_targets(tables.targets, tables.calendar).select("Fiscal_Month").unionByName(ahead.select("Fiscal_Month"))
+    parts = own.unionByName(expected, allowMissingColumns=True).unionByName(present, allowMissingColumns=True)
+    sums = parts.groupBy("Fiscal_Month").agg(F.sum("Sold").alias("Sold"), F.sum("Expected").alias("Expected"))
+    return sums.select("Fiscal_Month", *_or_zero(sums, ("Sold", "Expected"))), anchor
+
+
 def all_facts_as_written(tables: Tables) -> DataFrame:
     """The facts with ``Copies``: how many times each row stands in the result.
 

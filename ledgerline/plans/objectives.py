@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ledgerline.functions.amounts import parse_amount
 from ledgerline.operators.fiscal import month_attributes, on_day, with_anchor
 from ledgerline.operators.forecast import baseline_average
-from ledgerline.operators.lookups import SELLER_COLUMNS, STORE_COLUMNS, account_attributes
+from ledgerline.operators.lattice import column_sizes, cube_by_lattice
+from ledgerline.operators.lookups import MONTH_COLUMNS, SELLER_COLUMNS, STORE_COLUMNS, account_attributes
 from ledgerline.operators.opportunities import clean_opportunities
 from ledgerline.operators.revenue import revenue_lines
 from ledgerline.operators.targets import rename_targets
-from ledgerline.plans.facts import anchor_of, facts_and_anchor
+from ledgerline.plans.facts import anchor_of, month_totals, stacked_facts
 from ledgerline.schemas import Tables
 
 MONTH = ("Fiscal_Month", "Fiscal_Year", "Month_ID")
@@ -63,39 +64,52 @@ def forecast(tables: Tables) -> DataFrame:
 
     The window runs over month totals, a row per month, never over the facts.
     """
-    measures = ("Revenue", "Partner_Fee", "Baseline", "Opportunity_Into_RR")
-    merged, anchor = facts_and_anchor(tables, measures)
-    monthly = (
-        merged.groupBy("Fiscal_Month").agg(*[F.sum(m).alias(m) for m in measures])
-        .join(month_attributes(tables.calendar), "Fiscal_Month", "left")
-        .filter(" or ".join(["Month_ID is not null", *[f"{m} != 0" for m in measures]]))
-    )
+    totals, anchor = month_totals(tables)
+    monthly = totals.join(month_attributes(tables.calendar), "Fiscal_Month", "left").filter(
+        "Month_ID is not null or Sold != 0")
     is_actual = F.col("Month_ID").isNull() | (F.col("Month_ID") <= F.col("_anchor.Month_ID"))
-    amount = F.when(is_actual, F.col("Revenue") + F.col("Partner_Fee")).otherwise(
-        F.col("Baseline") + F.col("Opportunity_Into_RR")
-    )
+    amount = F.when(is_actual, F.col("Sold")).otherwise(F.col("Expected"))
     so_far = Window.partitionBy("Fiscal_Year").orderBy("Month_ID").rowsBetween(Window.unboundedPreceding, 0)
     return with_anchor(monthly, anchor).select(
         *MONTH, F.when(is_actual, "Actual").otherwise("Forecast").alias("Kind"), amount.alias("Amount")
     ).withColumn("Year_To_Date", F.sum("Amount").over(so_far))
 
 
-def slices(tables: Tables, by: Sequence[str] = SLICES, measures: Sequence[str] = SLICED) -> DataFrame:
+# Roughly how many values a column has that is not an attribute of accounts; more than any other, if it is not here.
+ROW_SIZES = {"Product_Category": 4, "Fiscal_Quarter": 4, "Fiscal_Year": 10, "Fiscal_Month": 120, "Month_ID": 120}
+
+
+def slice_sizes(tables: Tables, by: Sequence[str] = SLICES) -> dict[str, int]:
+    """Roughly how many values each column of ``slices`` has. Reads the account lookups, at once."""
+    of_account = [name for name in by if name in (*STORE_COLUMNS, *SELLER_COLUMNS)]
+    sizes = column_sizes(account_attributes(tables.stores, tables.sellers), of_account) if of_account else {}
+    return {name: sizes.get(name, ROW_SIZES.get(name, 2**31)) for name in by}
+
+
+def slices(
+    tables: Tables, by: Sequence[str] = SLICES, measures: Sequence[str] = SLICED, sizes: Mapping[str, int] | None = None
+) -> DataFrame:
     """The measures for every combination of the given columns; ``Grouping_ID`` has a bit set for each column that is
     summed over, first column highest, which tells a total from a missing attribute.
 
-    Summed by account before the attributes are joined, and by all the columns before the cube, which multiplies its
-    input by the number of combinations.
+    Summed by account before the attributes are joined, then by all the columns, and from there along a lattice of
+    combinations, each from its smallest parent; ``sizes`` (columns and roughly how many values they have) tells which
+    that is. Left out, ``slice_sizes`` reads it from the account lookups.
     """
     of_account = (*STORE_COLUMNS, *SELLER_COLUMNS)
     of_row = [name for name in by if name not in of_account and name != "Account_No"]
-    merged, _ = facts_and_anchor(tables, measures)
-    dated = merged.join(month_attributes(tables.calendar), "Fiscal_Month", "left")
-    by_account = dated.groupBy("Account_No", *of_row).agg(*[F.sum(m).alias(m) for m in measures])
+    of_month = [name for name in of_row if name in MONTH_COLUMNS]
+    own = [name for name in of_row if name not in of_month]
+    rows = stacked_facts(tables, measures)
+    needed = dict.fromkeys(["Account_No", *own, *(["Fiscal_Month"] if of_month else [])])
+    by_account = rows.groupBy(*needed).agg(*[F.sum(m).alias(m) for m in measures])
+    if of_month:
+        by_account = by_account.join(month_attributes(tables.calendar), "Fiscal_Month", "left")
     accounts = account_attributes(tables.stores, tables.sellers)
     attributed = by_account.join(accounts, F.col("Account_No") == F.col("Account"), "left")
-    finest = attributed.groupBy(*by).agg(*[F.sum(m).alias(m) for m in measures])
-    return finest.cube(*by).agg(F.grouping_id().alias("Grouping_ID"), *[F.sum(m).alias(m) for m in measures])
+    finest = attributed.groupBy(*by).agg(*[
+        F.coalesce(F.sum(m), F.lit(0)).cast(by_account.schema[m].dataType).alias(m) for m in measures])
+    return cube_by_lattice(finest, by, measures, sizes or slice_sizes(tables, by))
 
 
 def average_baseline(tables: Tables, months: int = 3) -> DataFrame:

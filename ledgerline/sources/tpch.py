@@ -3,8 +3,8 @@
 All years are read. Revenue is zero from February 1999, so January 1999 is the last month with revenue, and five months of
 fiscal year 1999 remain; opportunities and targets go on beyond it. The expressions plant the cases that the operators must get right:
 missing and unmapped products, inactive and missing statuses, zero and negative amounts, parts of a cent, text that is no
-amount, a date outside the calendar,
-accounts without a store or a seller.
+amount, dates that are missing or outside the calendar (of opportunities, revenue and targets), accounts without a store or a
+seller.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ def revenue(lineitem: DataFrame, orders: DataFrame, part: DataFrame) -> DataFram
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.col("o_custkey").alias("StoreNo"),
-            _month_start("l_shipdate").alias("Month"),
+            F.when(F.col("l_orderkey") % 211 == 5, F.lit(None)).when(F.col("l_orderkey") % 223 == 7, F.lit(OUTSIDE_CALENDAR))
+             .otherwise(_month_start("l_shipdate")).alias("Month"),
             _choose("l_returnflag", {"A": "Actuals", "N": "Partner Fee"}, "Registration Fee").alias("Revenue_Type"),
             _choose("l_linestatus", {"F": "Renewal"}, "New").alias("Revenue_Motion"),
             _choose("p_type", {
@@ -79,13 +80,15 @@ def opportunities(orders: DataFrame) -> DataFrame:
 
 
 def targets(orders: DataFrame) -> DataFrame:
-    third = F.col("o_orderkey") % 3
+    number = F.col("o_orderkey")
+    third = number % 3
     return (
         orders.groupBy(
             F.col("o_custkey").alias("Store_Number"),
             F.when(third == 0, "Services").when(third == 1, "Support").otherwise("Products")
              .alias("Service_Comp_Group"),
-            _month_start("o_orderdate").alias("Fiscal_Month"),
+            F.when(number % 227 == 3, F.lit(None)).when(number % 229 == 4, F.lit(OUTSIDE_CALENDAR))
+             .otherwise(_month_start("o_orderdate")).alias("Fiscal_Month"),
         )
         .agg(F.sum(F.col("o_totalprice").cast(MONEY)).alias("Target"))
     )

@@ -86,7 +86,9 @@ def _usage(text: str) -> str:
 PARTS = {
     # The source tables.
     "fx_revenue": """
-    select o_custkey as StoreNo, cast(date_trunc('month', l_shipdate) as date) as Month,
+    select o_custkey as StoreNo,
+           case when l_orderkey % 211 = 5 then null when l_orderkey % 223 = 7 then date '1990-01-01'
+                else cast(date_trunc('month', l_shipdate) as date) end as Month,
            case l_returnflag when 'A' then 'Actuals' when 'N' then 'Partner Fee' else 'Registration Fee' end
              as Revenue_Type,
            case l_linestatus when 'F' then 'Renewal' else 'New' end as Revenue_Motion,
@@ -118,7 +120,8 @@ PARTS = {
     "fx_targets": """
     select o_custkey as Store_Number,
            case o_orderkey % 3 when 0 then 'Services' when 1 then 'Support' else 'Products' end as Service_Comp_Group,
-           cast(date_trunc('month', o_orderdate) as date) as Fiscal_Month,
+           case when o_orderkey % 227 = 3 then null when o_orderkey % 229 = 4 then date '1990-01-01'
+                else cast(date_trunc('month', o_orderdate) as date) end as Fiscal_Month,
            sum(cast(o_totalprice as decimal(28,6))) as Target
     from orders group by 1, 2, 3""",
     "fx_stores": """
@@ -160,6 +163,7 @@ PARTS = {
     select Account_No, d.Fiscal_Month, Product_Category, Revenue, Partner_Fee, Registration_Fee
     from rev_monthly r left join days d on r.Fiscal_Month = cast(strptime(d.Fiscal_Month, '%B, %Y') as date)""",
     # Opportunities.
+    "opps_clean_all": _opps("fx_opps_all"),
     "opps_clean": _opps("fx_opps"),
     "opps_live": f"""
     select * replace ({_usage('Opportunity_Usage')} as Opportunity_Usage)
@@ -230,12 +234,12 @@ PARTS = {
     "month_totals": """
     select m.Fiscal_Month, m.Fiscal_Year, m.Month_ID, sum(Revenue + Partner_Fee) as Sold,
            sum(Baseline + Opportunity_Into_RR) as Expected
-    from facts f join months m on f.Fiscal_Month = m.Fiscal_Month group by all""",
+    from facts f left join months m on f.Fiscal_Month = m.Fiscal_Month group by all""",
     "outlook": """
     select t.Fiscal_Month, t.Fiscal_Year, t.Month_ID,
-           case when t.Month_ID <= x.Month_ID then 'Actual' else 'Forecast' end as Kind,
-           case when t.Month_ID <= x.Month_ID then Sold else Expected end as Amount
-    from month_totals t, anchor x""",
+           case when t.Month_ID > x.Month_ID then 'Forecast' else 'Actual' end as Kind,
+           case when t.Month_ID > x.Month_ID then Expected else Sold end as Amount
+    from month_totals t, anchor x where t.Month_ID is not null or Sold <> 0""",
     # The opportunities of the week before, and both weeks side by side.
     "fx_opps_before": f"""
     select * replace (
@@ -332,7 +336,7 @@ def oracle_sql() -> dict[str, str]:
         "revenue_measures": _all("split", _REV, "Fiscal_Month"),
         "revenue_categorized": _all("categorized", _REV, "Fiscal_Month"),
         "revenue_monthly": _all("rev_monthly", _REV, "Fiscal_Month"),
-        "opportunities_clean": _all("opps_clean", dates="Opportunity_Est_Date"),
+        "opportunities_clean": _all("opps_clean_all", dates="Opportunity_Est_Date"),
         "opportunity_monthly": _all("opp_monthly", "Opportunity_Usage"),
         "opportunity_extrap": _all("opp_extrap", _OPP),
         "revenue_calendar": _all("rev", _REV),
@@ -372,7 +376,7 @@ def oracle_sql() -> dict[str, str]:
                          sum(f.Target) as Target
                   from (select Fiscal_Month, Product_Category, Revenue, 0 as Target from rev
                         union all select Fiscal_Month, Product_Category, 0, Target from tgt) f
-                  join months m on f.Fiscal_Month = m.Fiscal_Month group by all)"""),
+                  left join months m on f.Fiscal_Month = m.Fiscal_Month group by all)"""),
         "obj_forecast": _select("""
             select Fiscal_Month, Fiscal_Year, Month_ID, Kind, cast(Amount as double) as Amount,
                    cast(sum(Amount) over (partition by Fiscal_Year order by Month_ID) as double) as Year_To_Date

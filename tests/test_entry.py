@@ -45,4 +45,4 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     df = entry_point.entry(spark)
-    assert len(df.columns) == 24 and df.count() == 7_548
+    assert len(df.columns) == 24 and df.count() == 7_531

@@ -1,9 +1,13 @@
-import pytest
+import random
+import re
 from datetime import date
+from decimal import Decimal
 
+import pytest
 from conftest import bag, goal, opp, sale
 from pyspark.sql import functions as F
 
+from ledgerline.operators.lattice import cube_by_lattice, smallest_parent
 from ledgerline.plans import objectives
 from ledgerline.sources import previous_week, weekly_snapshots
 
@@ -106,3 +110,43 @@ def test_the_derived_week_has_every_kind_of_change(small):
     weeks = weekly_snapshots({24: previous_week(small.opportunities), 25: small.opportunities})
     kinds = {r.Change_Type for r in objectives.wow_changes(weeks).select("Change_Type").distinct().collect()}
     assert kinds == {"New", "Closed", "Same", "Stage changed", "Value changed", "Stage and value changed"}
+
+
+def test_lattice_equals_a_cube(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("abc"), rng.choice([None, 1, 2, 3, 4]), rng.choice("xy"), Decimal(rng.randint(-9, 9))) for _ in range(300)]
+    by, schema = ["p", "q", "r"], "p string, q int, r string, m decimal(28,6)"
+    for part in (rows, rows[:1], []):
+        df = spark.createDataFrame(part, schema)
+        finest = df.groupBy(*by).agg(F.sum("m").alias("m"))
+        want = df.cube(*by).agg(F.grouping_id().alias("Grouping_ID"), F.sum("m").alias("m"))
+        for sizes in ({"p": 3, "q": 5, "r": 2}, {"p": 1, "q": 1, "r": 9}):
+            assert bag(cube_by_lattice(finest, by, ["m"], sizes)) == bag(want)
+
+
+def test_lattice_takes_the_smallest_parent():
+    sizes = {"a": 3, "b": 25, "c": 10, "d": 4}
+    assert smallest_parent(("b",), "abcd", sizes) == ("a", "b")
+    assert smallest_parent(("a", "d"), "abcd", sizes) == ("a", "c", "d")
+    assert smallest_parent((), "abcd", sizes) == ("a",)
+
+
+def test_slices_expand_rows_twice_a_step_and_not_into_all_combinations(small):
+    plan = objectives.slices(small, sizes=dict.fromkeys(objectives.SLICES, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    doubled = [line for line in plan.split("\n") if "Generate explode([false,true])" in line]
+    assert len(doubled) == len(objectives.SLICES)
+
+
+def test_slices_hold_accounts_that_have_targets_alone(make):
+    t = make([sale(1, JAN, 5)], targets=[goal(2, JAN, 4)])
+    cube = objectives.slices(t, ["Account_No"], ["Revenue"])
+    assert bag(cube) == [(1, 0, 5.0), (2, 0, 0.0), (None, 1, 5.0)]
+
+
+def test_forecast_is_summed_by_month_at_once(small):
+    plan = objectives.forecast(small)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION" not in plan
+    shuffles = {re.search(r"hashpartitioning\((.*), \d+\)", line).group(1).count("#") for line in plan.split("\n")
+                if "hashpartitioning" in line and "Account_No" in line}
+    assert shuffles == {4}  # accounts are shuffled for the pipeline's clamp alone, by its key and month number

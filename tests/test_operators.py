@@ -1,4 +1,6 @@
+import random
 from datetime import date
+from decimal import Decimal
 
 import pytest
 from conftest import bag, goal, opp, sale
@@ -158,3 +160,19 @@ def test_an_account_twice_in_a_lookup_fails_loudly(make, lookup, key):
 def test_peek_and_distinct(tiny):
     assert ops.peek(tiny.stores, 3).count() == 3
     assert ops.distinct_values(tiny.targets, "Service_Comp_Group").count() == 3
+
+
+def test_runrate_by_running_sums_equals_a_row_for_each_pair_of_months(spark, make):
+    """Corrected mode against the as-written rows summed by key, on many random estimates, ids with gaps and NULL accounts."""
+    rng = random.Random(9)
+    t = make([sale(1, date(2018, 11, 1), 5)])
+    anchor = facts.anchor_of(t)
+    rows = [(rng.choice([None, 1, 2, 3]), rng.choice(["Services", "Support"]), None, rng.randint(24227, 24235),
+             Decimal(rng.randint(-30, 30)) / 3) for _ in range(60)]
+    estimates = spark.createDataFrame(
+        rows, "Account_No long, Product_Category string, Fiscal_Month string, Month_ID int, Opportunity_Usage decimal(38,6)")
+    one_each = estimates.groupBy("Account_No", "Product_Category", "Month_ID").agg(F.sum("Opportunity_Usage").alias("Opportunity_Usage"))
+    pairs = ops.spread_runrate(one_each, anchor, "as_written").groupBy("Account_No", "Fiscal_Month", "Product_Category").agg(
+        F.sum("Opportunity_Into_RR").alias("Opportunity_Into_RR"))
+    assert bag(ops.spread_runrate(one_each, anchor)) == bag(pairs) and pairs.count() > 30
+    assert ops.spread_runrate(one_each.filter("false"), anchor).count() == 0
