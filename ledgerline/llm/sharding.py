@@ -1,15 +1,18 @@
 """Sharding by sampled splitters: near-equal bytes in every shard.
 
-Records are ordered by a key, the hash of the text and then that of the doc_id, so copies of a text lie together. Splitters are
-quantiles of a sample in which a record's chance grows with its size. Records are put into the ranges between splitters, whose
-exact sizes are then summed. A range that holds the end of a shard is overfull: it is sampled and split again, first between
-texts, then, where one text's copies are too many for that, among the copies, until the end is found to within ``TOLERANCE``
-of a shard, or one record.
-
-Slots number a shard's records without a gap: they are counted by cells of the hash, and numbered within a cell.
-
-Defined cases: NULL and empty texts have size 1 and checksum 0; a NULL doc_id is a key like others; equal rows get slots of
-their own; empty shards are possible where there are fewer records than shards; an empty table gives no rows.
+Records are ordered by a key, the hash of the text and then that of the doc_id, so copies of a text lie together. Records of one
+key are equal rows; they are first summed to one item with their number and bytes. Splitters are quantiles of a sample of items in
+which an item's chance grows with its bytes. Items are put into the ranges between splitters, whose exact bytes are then summed.
+A range that holds the end of a shard is overfull: it is sampled and split again, first between texts, then between records,
+until a splitter comes within ``TOLERANCE`` of the end, or at most ``FEW`` items are left around it. These are looked at one by
+one; an end within an item divides its equal rows by number. So every end is within ``TOLERANCE`` of a shard, or half a record.
+
+Equal rows are numbered, and slots given, by cells: rows are counted by cell, and numbered within one. A cell is chosen by the
+hash of the record, and for a key of more than ``HEAVY`` rows by a number of the row instead, which spreads them over all cells.
+
+Defined cases: NULL and empty texts have size 1 and checksum 0; a NULL doc_id is a key like others; equal rows, of which any may
+take another's place, are divided where an end falls among them, and have slots of their own; empty shards are possible where
+there are fewer records than shards; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,23 +25,33 @@ from ledgerline.llm.common import cut, sized, text_of
 
 SHARDS = 8
 TOLERANCE = 0.002
-# Bounds of what the driver holds: expected samples of a round, and splitters of a shard's end.
+# Bounds of what the driver holds: expected samples of a round, splitters of a shard's end, items around an end.
 SAMPLES = 4096
 SPLITS = 16
-MOST_ROUNDS = 12
+FEW = 1024
+# Each round leaves about a sixteenth of a range: this many are never needed, and more are an error.
+MOST_ROUNDS = 64
 ROWS_IN_CELL = 100_000
 LEAST_CELLS = 64
+HEAVY = 1000
 
 Key = tuple[int, int]
 LOWEST, HIGHEST = -(2**63), (2**63 - 1, 2**63 - 1)
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """``doc_id``, ``size``, ``text_crc32`` and the key, ``k1`` of the text and ``k2`` of the record."""
+    """``doc_id``, ``size``, ``text_crc32``, the key, ``k1`` of the text and ``k2`` of the record, and ``row``, a number to
+    tell equal rows apart, which holds once the rows are written."""
     return documents.select(
         "doc_id", (F.octet_length(text_of()).cast("long") + 1).alias("size"),
         F.crc32(text_of().cast("binary")).alias("text_crc32"), F.xxhash64(text_of()).alias("k1"),
-        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_of()).alias("k2"))
+        F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text_of()).alias("k2"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("row"))
+
+
+def items_of(records: DataFrame) -> DataFrame:
+    """``k1``, ``k2``, ``size`` (bytes of all rows of the key), ``rows``."""
+    return records.groupBy("k1", "k2").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
 
 
 def _reaches(cut_at: Key) -> Column:
@@ -54,7 +67,7 @@ def range_of(cuts: list[Key], low: int = 0) -> Column:
     return F.when(_reaches(cuts[middle]), range_of(cuts[middle + 1 :], low + middle + 1)).otherwise(range_of(cuts[:middle], low))
 
 
-def _splitters(records: DataFrame, cuts: list[Key], wanted: dict[int, int], by_record: set[int], seed: int) -> set[Key]:
+def _splitters(items: DataFrame, cuts: list[Key], wanted: dict[int, int], by_record: set[int], seed: int) -> set[Key]:
     """Quantiles of a sample of each wanted range (number: bytes): between texts, or between records where in ``by_record``."""
     each = SAMPLES // len(wanted)
     rate = F
@@ -62,7 +75,7 @@ def _splitters(records: DataFrame, cuts: list[Key], wanted: dict[int, int], by_r
         rate = rate.when(F.col("place") == number, F.lit(each / total))
     chance = F.shiftrightunsigned(F.xxhash64("k2", F.lit(seed)), 11).cast("double") / float(2**53)
     drawn = (
-        records.withColumn("place", range_of(cuts)).filter(F.col("place").isin(list(wanted))).withColumn("rate", rate)
+        items.withColumn("place", range_of(cuts)).filter(F.col("place").isin(list(wanted))).withColumn("rate", rate)
         .filter(chance < F.col("size") * F.col("rate"))
         .select("place", "k1", "k2", F.greatest(F.col("size").cast("double"), 1 / F.col("rate")).alias("weight"))
     )
@@ -74,58 +87,121 @@ def _splitters(records: DataFrame, cuts: list[Key], wanted: dict[int, int], by_r
     return {(row.k1, row.k2 if row.place in by_record else LOWEST) for row in found}
 
 
-def shard_ends(records: DataFrame, shards: int = SHARDS) -> list[Key]:
-    """Where shards 1, 2, ... begin. What comes to the driver is bounded by the shards, not the records."""
-    total = records.agg(F.sum("size").alias("size")).first().size or 0
-    goals = [shard * total / shards for shard in range(1, shards)]
-    allowed = TOLERANCE * total / shards
-    # Of each end: the cuts around it, the bytes before each, and whether only records are left to split.
-    around = [(((LOWEST, LOWEST), 0), (HIGHEST, total))] * len(goals)
-    closed, by_record = [total == 0] * len(goals), set()
+Span = tuple[tuple[Key, int], tuple[Key, int]]
+End = tuple[int, int, int]
+
+
+def _end_among(items: list, before: int, goal: float) -> End:
+    """The end nearest to ``goal``, in bytes, among sorted items that begin at ``before``: a key, and how many of its rows are
+    left of the end."""
+    for item in items:
+        if before + item.size > goal or item is items[-1]:
+            one = item.size // item.rows
+            return item.k1, item.k2, min(max(round((goal - before) / one), 0), item.rows)
+        before += item.size
+    raise ValueError("no items around the end")
+
+
+def shard_ends(items: DataFrame, shards: int = SHARDS) -> list[End]:
+    """Where shards 1, 2, ... begin: a key, and how many rows of it are still left of it. What comes to the driver is bounded by
+    the shards, not the records."""
+    whole = items.agg(F.sum("size").alias("size"), F.count("*").alias("items")).first()
+    if not whole.items:
+        return []
+    goals = [shard * whole.size / shards for shard in range(1, shards)]
+    allowed = TOLERANCE * whole.size / shards
+    # Of each end: the cuts around it with the bytes before each, and how many items are between them.
+    around: list[Span] = [(((LOWEST, LOWEST), 0), (HIGHEST, whole.size))] * len(goals)
+    between = dict.fromkeys(around, whole.items)
+    ends: dict[int, End] = {}
+    by_record: set[Span] = set()
     for seed in range(MOST_ROUNDS):
-        spans = sorted({around[i] for i in range(len(goals)) if not closed[i]})
+        spans = sorted({around[i] for i in range(len(goals)) if i not in ends and between[around[i]] > FEW})
         if not spans:
             break
         cuts = sorted({cut_at for span in spans for cut_at, _ in span})
         number_of = {span: cuts.index(span[0][0]) + 1 for span in spans}
-        new = _splitters(records, cuts, {number_of[s]: s[1][1] - s[0][1] for s in spans},
+        new = _splitters(items, cuts, {number_of[s]: s[1][1] - s[0][1] for s in spans},
                          {number_of[s] for s in spans if s in by_record}, seed)
         cuts = sorted(set(cuts) | new)
-        sums = {row.place: row.size for row in
-                records.groupBy(range_of(cuts).alias("place")).agg(F.sum("size").alias("size")).collect()}
-        before, reached = {}, 0
+        sums = {row.place: row for row in items.groupBy(range_of(cuts).alias("place")).agg(
+            F.sum("size").alias("size"), F.count("*").alias("items")).collect()}
+        before, items_before = {}, {}
+        size = count = 0
         for number, cut_at in enumerate(cuts):
-            reached += sums.get(number, 0)
-            before[cut_at] = reached
+            if number in sums:
+                size, count = size + sums[number].size, count + sums[number].items
+            before[cut_at], items_before[cut_at] = size, count
         for i, goal in enumerate(goals):
-            if closed[i]:
+            if around[i] not in spans or i in ends:
                 continue
             old = around[i]
             inside = [(cut_at, before[cut_at]) for cut_at in cuts if old[0][0] <= cut_at <= old[1][0]]
-            low = max((x for x in inside if x[1] <= goal), key=lambda x: x[0], default=inside[0])
-            high = min((x for x in inside if x[0] > low[0]), key=lambda x: x[0], default=inside[-1])
+            low = max(x for x in inside if x[1] <= goal)
+            high = min((x for x in inside if x[0] > low[0]), default=inside[-1])
             around[i] = (low, high)
-            near = min(goal - low[1], high[1] - goal) <= allowed
-            if near or (around[i] == old and old in by_record):
-                closed[i] = True
+            between[around[i]] = items_before[high[0]] - items_before[low[0]]
+            nearest = low if goal - low[1] <= high[1] - goal else high
+            if abs(nearest[1] - goal) <= allowed:
+                ends[i] = (*nearest[0], 0)
             elif around[i] == old:
                 by_record.add(old)
-    return [low[0] if goal - low[1] <= high[1] - goal else high[0] for goal, (low, high) in zip(goals, around, strict=True)]
+    else:
+        raise RuntimeError(f"a shard's end was not found in {MOST_ROUNDS} rounds")
+    few = {span for i, span in enumerate(around) if i not in ends}
+    if few:
+        cuts = sorted({cut_at for span in few for cut_at, _ in span})
+        wanted = {cuts.index(span[0][0]) + 1: span for span in few}
+        last = F.lit(HIGHEST[0])
+        top = (F.col("k1") == last) & (F.col("k2") == last)  # the only key that reaches the highest cut
+        place = F.when(top & F.lit(HIGHEST in cuts), len(cuts) - 1).otherwise(range_of(cuts))
+        rows = items.withColumn("place", place).filter(F.col("place").isin(list(wanted))).collect()
+        for i, goal in enumerate(goals):
+            if i not in ends:
+                number = cuts.index(around[i][0][0]) + 1
+                found = sorted((r for r in rows if r.place == number), key=lambda r: (r.k1, r.k2))
+                ends[i] = _end_among(found, around[i][0][1], goal)
+    return [ends[i] for i in range(len(goals))]
+
+
+def _numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with a number from 0 without gaps in ``name``, by ``by``: counted by their ``cell``, and numbered within it."""
+    counts = rows.groupBy(*by, "cell").agg(F.count("*").alias("n"))
+    offset = F.sum("n").over(W.partitionBy(*by).orderBy("cell")) - F.col("n")
+    offsets = sized(cut(counts.select(*by, "cell", offset.alias("offset"))))
+    within = F.row_number().over(W.partitionBy(*by, "cell").orderBy(*order)) - 1
+    return (
+        rows.withColumn("within", within).join(offsets, [*by, "cell"])
+        .withColumn(name, F.col("offset") + F.col("within")).drop("offset", "within")
+    )
+
+
+def placed(records: DataFrame, ends: list[End]) -> DataFrame:
+    """``records``, which have a ``cell``, with their ``shard``."""
+    cuts = [(k1, k2) for k1, k2, _ in ends]
+    divided = sorted({(k1, k2) for k1, k2, left in ends if left})
+    if not divided:
+        return records.withColumn("shard", range_of(cuts))
+    is_divided = F.lit(False)
+    for k1, k2 in divided:
+        is_divided = is_divided | ((F.col("k1") == F.lit(k1).cast("long")) & (F.col("k2") == F.lit(k2).cast("long")))
+    others = records.filter(~is_divided).withColumn("shard", range_of(cuts))
+    copies = _numbered(records.filter(is_divided), ["k1", "k2"], ["row"], "copy")
+    shard = F.lit(0)
+    for k1, k2, left in ends:
+        same = (F.col("k1") == F.lit(k1).cast("long")) & (F.col("k2") == F.lit(k2).cast("long"))
+        shard = shard + F.when(same, F.col("copy") >= left).otherwise(_reaches((k1, k2))).cast("int")
+    return others.unionByName(copies.withColumn("shard", shard).drop("copy"))
 
 
 def sharded(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     """A row for each document: ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``."""
     records = cut(keyed(documents))
-    placed = records.withColumn("shard", range_of(shard_ends(records, shards)))
-    rows = records.count()
-    cells = max(LEAST_CELLS, rows // shards // ROWS_IN_CELL)
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("k2", F.lit("cell")), F.lit(cells)))
-    counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
-    offset = F.sum("n").over(W.partitionBy("shard").orderBy("cell")) - F.col("n")
-    offsets = sized(cut(counts.select("shard", "cell", offset.alias("offset"))))
-    within = F.row_number().over(W.partitionBy("shard", "cell").orderBy("k1", "k2")) - 1
-    return (
-        placed.withColumn("within", within).join(offsets, ["shard", "cell"])
-        .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-                (F.col("offset") + F.col("within")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    )
+    items = cut(items_of(records))
+    cells = max(LEAST_CELLS, records.count() // shards // ROWS_IN_CELL)
+    heavy = sized(cut(items.filter(F.col("rows") > HEAVY).select("k1", "k2", F.lit(True).alias("heavy"))))
+    spread = F.when(F.col("heavy"), F.col("row")).otherwise(F.xxhash64("k2", F.lit("cell")))
+    celled = records.join(heavy, ["k1", "k2"], "left").withColumn("cell", F.pmod(spread, F.lit(cells))).drop("heavy")
+    return _numbered(placed(celled, shard_ends(items, shards)), ["shard"], ["k1", "k2", "row"], "slot").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
