@@ -29,7 +29,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ledgerline.llm.common import pieces
+from ledgerline.llm.common import pieces, shipped, shipped_path
 
 # Fixed value: how the byte-level pre-tokenizer cuts text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -237,8 +237,10 @@ def tokenizer(path: str) -> Tokenizer:
 
 def encoded(documents: DataFrame, path: str) -> DataFrame:
     """``doc_id`` and ``ids`` of every document."""
+    name = shipped(documents.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
+        own = tokenizer(shipped_path(name))
         for batch in pieces(batches):
             ids = [own.encode(text or "") for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
@@ -249,8 +251,10 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
 
 def decoded(encodings: DataFrame, path: str) -> DataFrame:
     """``doc_id`` and ``text`` from ``doc_id`` and ``ids``; NULL ids give an empty text."""
+    name = shipped(encodings.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
+        own = tokenizer(shipped_path(name))
         for batch in batches:
             texts = [own.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())],
@@ -261,8 +265,10 @@ def decoded(encodings: DataFrame, path: str) -> DataFrame:
 
 def digest(documents: DataFrame, path: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``: each text encoded, then decoded, in one pass."""
+    name = shipped(documents.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path)
+        own = tokenizer(shipped_path(name))
         for batch in pieces(batches):
             counts, ids, texts = [], [], []
             for text in batch.column("text").to_pylist():

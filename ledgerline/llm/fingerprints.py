@@ -8,7 +8,7 @@ documents, which are verified on their full shingle sets.
 Defined cases: words in any case are told apart by fingerprints, but not by ``similar``; NULL texts are empty; an empty text
 has no shingles and a fingerprint of its own; a text of fewer words than a shingle is one shingle; equal texts have equal
 fingerprints; an empty table gives no rows. In the order of documents, rows that share a doc_id go by text, and NULL ids come
-last; if all are NULL, the last has no next.
+last; the last is followed by the first.
 """
 
 from __future__ import annotations
@@ -93,7 +93,8 @@ def in_ranges(documents: DataFrame) -> DataFrame:
     own = documents.select(range_of("doc_id").alias("range"), F.lit(0).alias("ahead"), "doc_id", "text")
     firsts = documents.filter(F.col("doc_id").isin(cuts))
     ahead = firsts.select((range_of("doc_id") - 1).alias("range"), F.lit(1).alias("ahead"), "doc_id", "text")
-    around = documents.filter(F.col("doc_id") == F.lit(stats.low)).select(
+    first = documents.filter(F.col("doc_id").eqNullSafe(F.lit(stats.low).cast("long"))).orderBy("text").limit(1)
+    around = first.select(
         F.lit(len(cuts)).alias("range"), F.lit(2).alias("ahead"), "doc_id", "text")
     every = own.unionByName(ahead).unionByName(around).repartition("range")
     return every.sortWithinPartitions("range", "ahead", F.col("doc_id").asc_nulls_last(), "text")

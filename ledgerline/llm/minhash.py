@@ -66,7 +66,8 @@ def sketched(
                     values = signatures_of(flat, begins)
                     banded = (values.reshape(-1, bands_of, rows_of).astype(np.uint64) * salts).sum(axis=2, dtype=np.uint64)
                     bands[full] = mix64(banded + np.arange(1, bands_of + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                    sig[full] = (values >> (8 * values.itemsize - 8)).astype(np.uint8)
+                    # Of the mixed minimum: the top bits of a minimum shrink towards 0 as sets grow.
+                    sig[full] = (mix64(values.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8)
                     sums = np.stack([np.add.reduceat(mix64(flat ^ salt), begins) for salt in salts[0, :2]], axis=1)
                     for i, pair in zip(full, sums, strict=True):
                         keys[i] = pair.tobytes()

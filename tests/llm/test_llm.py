@@ -302,3 +302,36 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     assert {r.doc_id: r.text for r in lines.collect()} == want and lines.columns == documents.columns
     assert corpus_pipeline.run(spark, sf).count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES][-1] == "BPE"
+
+
+def test_signature_bytes_of_unrelated_long_texts_differ(spark):
+    ship(spark)
+    for n in (100, 1000, 5000):
+        rows = [(k, " ".join(f"{k}x{i}" for i in range(n + 4))) for k in range(6)]
+        sketch = minhash.sketched(spark.createDataFrame(rows, "doc_id long, text string"), minhash.circulant_signatures, 32, 6)
+        sigs = [r.sig for r in sketch.collect()]
+        agree = [sum(x == y for x, y in zip(a, b, strict=True)) / len(a) for i, a in enumerate(sigs) for b in sigs[:i]]
+        assert sum(agree) / len(agree) < 0.05
+
+
+def test_fingerprints_where_all_ids_are_null(spark):
+    texts = ["b " * 20, "a c " * 10, None]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    order = sorted(t or "" for t in texts)
+    want = Counter(hashlib.sha256((t[: len(t) - len(t) // 4] + order[(k + 1) % 3][: len(t) // 4]).encode()).hexdigest()
+                   for k, t in enumerate(order))
+    assert Counter(r.edited_sha256 for r in fingerprints.compared(df).collect()) == want
+
+
+def test_folders_are_shared_or_it_is_an_error():
+    from types import SimpleNamespace
+
+    from ledgerline.llm.common import shared_folder
+
+    def session(master, named):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("spark://x:7077", "hdfs://store/tmp/")) == "hdfs://store/tmp"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://x:7077", None))
+    assert shared_folder(session("local[2]", None)).startswith("/")
