@@ -5,13 +5,10 @@ Each stage takes all rows that the one before returned, and every stage but the
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import bpe, line_dedup, minhash, mixing, quality_rules
-from ledgerline.llm.common import ship
+from ledgerline.llm.common import Scratch, ship
 from ledgerline.llm.queries import table, tokenizer_path
 
 # The Jaccard similarity, in percent, from which documents are near duplicates here; that of op4 is its own.
@@ -61,12 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written where all executors can read it, and read again by the next."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    folder = f"{shared.rstrip('/')}/corpus-{uuid.uuid4()}"
+    """All stages over the documents, each written where all executors can read it, and read again by the next.
+
+    Once a stage is written, what it read is deleted; the last stage's input stays, as its rows are made when they are asked for.
+    """
+    written = Scratch(spark, "corpus")
     docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES[:-1]):
-        path = f"{folder}/{number}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES[:-1]:
+        docs = written.replaced(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
