@@ -14,7 +14,14 @@ from ledgerline.operators.opportunities import (
     opportunity_monthly,
     rejected_amounts,
 )
-from ledgerline.operators.profile import distinct_values, peek
+from ledgerline.operators.profile import (
+    distinct_values,
+    merge_profiles,
+    peek,
+    profile_sketches,
+    read_profile,
+    sample_rows,
+)
 from ledgerline.operators.revenue import (
     align_revenue,
     bucket_category,
@@ -29,6 +36,6 @@ __all__ = [
     "accepted_amounts", "add_lookups", "align_revenue", "align_targets", "anchor_month", "baseline", "baseline_average",
     "bucket_category", "clean_opportunities", "distinct_values", "expand_copies", "extrapolate",
     "future_months", "future_opportunities", "live_opportunities", "merge_facts", "one_row_per_key",
-    "opportunity_detail", "opportunity_monthly", "peek", "rejected_amounts", "rename_revenue", "rename_targets", "revenue_lines",
+    "merge_profiles", "opportunity_detail", "opportunity_monthly", "peek", "profile_sketches", "read_profile", "rejected_amounts", "rename_revenue", "rename_targets", "revenue_lines", "sample_rows",
     "revenue_monthly", "split_measures", "spread_runrate",
 ]

@@ -122,6 +122,45 @@ NEW, CLOSED, SAME = "New", "Closed", "Same"
 STAGE_CHANGED, VALUE_CHANGED, BOTH_CHANGED = "Stage changed", "Value changed", "Stage and value changed"
 
 
+# What is told of an opportunity in each week.
+FOLLOWED = ("Account_No", "Product_Category", "Opportunity_Status", "Opportunity_Stage")
+
+
+def _nameless():
+    return F.raise_error(F.lit("an opportunity without an Opportunity_ID")).cast("long")
+
+
+def _side(name: str, condition=None) -> list:
+    """The usage and attributes of one week, of the rows that meet ``condition``."""
+    def those(column):
+        return column if condition is None else F.when(condition, column)
+
+    total = F.sum(those(F.col("Usage"))).alias(f"{name}Opportunity_Usage")
+    last = F.max(those(F.struct("Opportunity_Status", "Opportunity_Stage", *FOLLOWED[:2])))
+    return [total, *[last[a].alias(f"{name}{a}") for a in FOLLOWED]]
+
+
+def _described(paired: DataFrame) -> DataFrame:
+    """Both weeks of an opportunity, side by side, and what changed; ``_here`` and ``_before`` tell which week has it."""
+    stage = ~(
+        F.col("Opportunity_Stage").eqNullSafe(F.col("Previous_Opportunity_Stage"))
+        & F.col("Opportunity_Status").eqNullSafe(F.col("Previous_Opportunity_Status"))
+    )
+    value = ~F.col("Opportunity_Usage").eqNullSafe(F.col("Previous_Opportunity_Usage"))
+    change = (
+        F.when(~F.col("_before"), NEW).when(~F.col("_here"), CLOSED)
+        .when(stage & value, BOTH_CHANGED).when(stage, STAGE_CHANGED).when(value, VALUE_CHANGED)
+        .otherwise(SAME)
+    )
+    return paired.select(
+        "Opportunity_ID", "Snapshot_Week",
+        *[F.coalesce(a, f"Previous_{a}").alias(a) for a in FOLLOWED[:2]],
+        *[c for a in FOLLOWED[2:] for c in (a, f"Previous_{a}")],
+        "Opportunity_Usage", "Previous_Opportunity_Usage",
+        change.alias("Change_Type"),
+    )
+
+
 def wow_changes(snapshots: DataFrame, weeks: Sequence[int] | None = None) -> DataFrame:
     """Each opportunity in each week, beside itself in the snapshot before, and what changed.
 
@@ -140,8 +179,6 @@ def wow_changes(snapshots: DataFrame, weeks: Sequence[int] | None = None) -> Dat
     else:
         known = F.array(*[F.lit(w) for w in sorted(set(weeks))]).cast("array<int>")
     next_week = F.array_min(F.filter("_weeks", lambda w: w > week))
-    attributes = ("Account_No", "Product_Category", "Opportunity_Status", "Opportunity_Stage")
-
     usage = parse_amount("Opportunity_Usage")
     sent = (
         clean_opportunities(snapshots).withColumns({"Usage": usage, "_weeks": known})
@@ -154,34 +191,31 @@ def wow_changes(snapshots: DataFrame, weeks: Sequence[int] | None = None) -> Dat
     )
     now = F.col("_to.Now")
 
-    def side(name: str, condition) -> list:
-        total = F.sum(F.when(condition, F.col("Usage"))).alias(f"{name}Opportunity_Usage")
-        last = F.max(F.when(condition, F.struct("Opportunity_Status", "Opportunity_Stage", *attributes[:2])))
-        return [total, *[last[a].alias(f"{name}{a}") for a in attributes]]
-
-    nameless = F.raise_error(F.lit("an opportunity without an Opportunity_ID")).cast("long")
-    sent = sent.withColumn("Opportunity_ID", F.coalesce("Opportunity_ID", nameless))
+    sent = sent.withColumn("Opportunity_ID", F.coalesce("Opportunity_ID", _nameless()))
     paired = sent.groupBy("Opportunity_ID", F.col("_to.Week").alias("Snapshot_Week")).agg(
-        *side("", now), *side("Previous_", ~now),
+        *_side("", now), *_side("Previous_", ~now),
         F.max(now).alias("_here"), F.max(~now).alias("_before"),
     )
-    stage = ~(
-        F.col("Opportunity_Stage").eqNullSafe(F.col("Previous_Opportunity_Stage"))
-        & F.col("Opportunity_Status").eqNullSafe(F.col("Previous_Opportunity_Status"))
-    )
-    value = ~F.col("Opportunity_Usage").eqNullSafe(F.col("Previous_Opportunity_Usage"))
-    change = (
-        F.when(~F.col("_before"), NEW).when(~F.col("_here"), CLOSED)
-        .when(stage & value, BOTH_CHANGED).when(stage, STAGE_CHANGED).when(value, VALUE_CHANGED)
-        .otherwise(SAME)
-    )
-    return paired.select(
-        "Opportunity_ID", "Snapshot_Week",
-        *[F.coalesce(a, f"Previous_{a}").alias(a) for a in attributes[:2]],
-        *[c for a in attributes[2:] for c in (a, f"Previous_{a}")],
-        "Opportunity_Usage", "Previous_Opportunity_Usage",
-        change.alias("Change_Type"),
-    )
+    return _described(paired)
+
+
+def wow_changes_bucketed(before: DataFrame, now: DataFrame, week: int) -> DataFrame:
+    """``wow_changes`` of two weeks that ``sources.save_bucketed_week`` saved as tables of equally many buckets.
+
+    Both are grouped and joined within their buckets: neither the attributes nor the numbers of opportunities are shuffled,
+    whether they changed or not.
+    """
+    def side(snapshot: DataFrame, name: str) -> DataFrame:
+        clean = clean_opportunities(snapshot).withColumn("Usage", parse_amount("Opportunity_Usage"))
+        return clean.groupBy("Opportunity_ID").agg(*_side(name))
+
+    n, b = side(now, "").alias("n"), side(before, "Previous_").alias("b")
+    paired = n.join(b, F.col("n.Opportunity_ID") == F.col("b.Opportunity_ID"), "full")
+    named = F.coalesce("n.Opportunity_ID", "b.Opportunity_ID", _nameless())
+    return _described(paired.select(
+        named.alias("Opportunity_ID"), F.lit(week).alias("Snapshot_Week"),
+        *[column for a in ("Opportunity_Usage", *FOLLOWED) for column in (F.col(f"n.{a}"), F.col(f"b.Previous_{a}"))],
+        F.col("n.Opportunity_ID").isNotNull().alias("_here"), F.col("b.Opportunity_ID").isNotNull().alias("_before")))
 
 
 def wow_measures(snapshots: DataFrame, weeks: Sequence[int] | None = None) -> DataFrame:

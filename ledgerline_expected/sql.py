@@ -323,6 +323,24 @@ def oracle_sql() -> dict[str, str]:
     return {
         "scan_revenue": _all("fx_revenue", "Revenue", "Month"),
         "peek": "select cast(least(10, count(*)) as bigint) as Rows_Found from customer where c_custkey % 53 <> 0",
+        "peek_sample": _select(
+            "select * from fx_stores order by md5(concat(" + ", ".join(
+                f"coalesce(length(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')" for c in
+                "AccountNo Store Industry Vertical Segment Store_Manager_Alias Potential_Account Vertical_Manager_Alias".split())
+            + ")) limit 10"),
+        "profile_tables": _select(" union all ".join(
+            f"select '{table}' as \"Table\", '{c}' as \"Column\", count(*) as \"Rows\", count(*) - count({c}) as Nulls from {part}"
+            for table, part, columns in (
+                ("opportunities", "fx_opps_all", "Store_No Opportunity_Est_Date Product Opportunity_ID Opportunity_Name "
+                 "Project_Status Opportunity_Status Opportunity_Stage Opportunity_Usage"),
+                ("stores", "fx_stores", "AccountNo Store Industry Vertical Segment Store_Manager_Alias Potential_Account "
+                 "Vertical_Manager_Alias"),
+                ("sellers", "fx_sellers", "Store_ID General_Seller Services_Seller Product_Seller"))
+            for c in columns.split())),
+        "scan_weeks": _select(
+            "select * replace (cast(Opportunity_Est_Date as varchar) as Opportunity_Est_Date), cast(24 as integer) as Snapshot_Week "
+            "from fx_opps_before union all "
+            "select * replace (cast(Opportunity_Est_Date as varchar) as Opportunity_Est_Date), cast(25 as integer) from fx_opps"),
         "rejected_amounts": _select(
             "select * replace (cast(Opportunity_Est_Date as varchar) as Opportunity_Est_Date) from fx_opps_all "
             "where Opportunity_Usage = 'n/a'"),

@@ -1,0 +1,113 @@
+"""Weekly snapshots as one source or in buckets, stable samples, and profiles that merge."""
+
+import random
+from collections import Counter
+
+import pytest
+from conftest import bag, opp
+from datetime import date
+from pyspark.sql import functions as F
+
+from ledgerline import operators as ops
+from ledgerline.plans import objectives
+from ledgerline.sources import previous_week, save_bucketed_week, scan_weeks, weekly_snapshots, write_week
+
+JAN = date(2019, 1, 1)
+
+
+def files_read(df):
+    """How many files the scans of a plan opened, by its metrics."""
+    df.collect()
+
+    def walk(plan):
+        found = plan.metrics().apply("numFiles").value() if plan.metrics().contains("numFiles") else 0
+        children = plan.children()
+        return found + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_two_weeks_of_fifty_open_two_files(spark, make, tmp_path):
+    one = make(opportunities=[opp(1, JAN, "5", number=7)]).opportunities.coalesce(1)
+    for week in range(1, 51):
+        write_week(one.withColumn("Opportunity_Usage", F.lit(str(week))), str(tmp_path), week)
+    weeks = scan_weeks(spark, str(tmp_path))
+    two = weeks.filter(F.col("Snapshot_Week").isin(24, 25))
+    assert bag(two, "Snapshot_Week", "Opportunity_Usage") == [(24, "24"), (25, "25")]
+    assert files_read(two) == 2 and weeks.count() == 50
+    assert two._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    changes = objectives.wow_changes(two, (24, 25))
+    assert bag(changes, "Opportunity_ID", "Snapshot_Week", "Change_Type") == [(7, 25, "Value changed")]
+    assert files_read(two.select("Opportunity_ID")) == 2
+
+
+def test_a_week_is_replaced_and_other_tables_have_none(spark, make, tmp_path):
+    for usage in ("1", "2"):
+        write_week(make(opportunities=[opp(1, JAN, usage)]).opportunities, str(tmp_path), 3)
+    assert bag(scan_weeks(spark, str(tmp_path)), "Opportunity_Usage", "Snapshot_Week") == [("2", 3)]
+    with pytest.raises(ValueError, match="no weekly snapshots"):
+        scan_weeks(spark, str(tmp_path), "stores")
+
+
+def test_bucketed_weeks_are_compared_without_a_shuffle(spark, small):
+    names = {24: "bucketed_wk24", 25: "bucketed_wk25"}
+    frames = {24: previous_week(small.opportunities), 25: small.opportunities}
+    for week, df in frames.items():
+        save_bucketed_week(df, names[week], buckets=4)
+    found = objectives.wow_changes_bucketed(spark.table(names[24]), spark.table(names[25]), 25)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("FileScan") == 2
+    assert bag(found) == bag(objectives.wow_changes(weekly_snapshots(frames), (24, 25)))
+
+
+def test_bucketed_weeks_know_repeated_and_nameless_opportunities(spark, make):
+    before = make(opportunities=[opp(1, JAN, "1", number=1), opp(1, JAN, "2", number=1)]).opportunities
+    now = make(opportunities=[opp(1, JAN, "3", number=1), opp(1, JAN, "9", number=2)]).opportunities
+    found = objectives.wow_changes_bucketed(before, now, 25)
+    assert bag(found, "Opportunity_ID", "Change_Type") == [(1, "Same"), (2, "New")]
+    nameless = make(opportunities=[opp(1, JAN, "1", number=None)]).opportunities
+    with pytest.raises(Exception, match="without an Opportunity_ID"):
+        objectives.wow_changes_bucketed(before, nameless, 25).collect()
+
+
+def test_sample_is_the_same_however_the_rows_are_dealt(spark):
+    rows = [(i % 50, None if i % 7 == 0 else f"t{i % 50}") for i in range(400)]
+    df = spark.createDataFrame(rows, "a int, b string")
+    first = bag(ops.sample_rows(df, 20))
+    assert len(first) == 20 and Counter(first) <= Counter(bag(df))
+    assert first == bag(ops.sample_rows(df.repartition(7, "b"), 20)) == bag(ops.sample_rows(df.orderBy("a"), 20))
+    plan = ops.sample_rows(df, 20)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan and "Sort [" not in plan
+    assert ops.sample_rows(df.filter("false")).count() == 0
+
+
+def test_rows_that_read_the_same_have_different_digests(spark):
+    df = spark.createDataFrame([("1:a", "b"), ("1", "a1:b"), (None, "-"), ("-", None)], "x string, y string")
+    from ledgerline.operators.profile import row_digest
+
+    assert df.select(row_digest(df).alias("d")).distinct().count() == 4
+
+
+def test_profiles_merge_to_that_of_the_whole(spark):
+    rng = random.Random(2)
+    rows = [(rng.randint(0, 30_000), rng.choice(["often"] * 60 + ["seldom"] * 30 + [None] * 10), date(2019, 1, 1 + i % 28))
+            for i in range(40_000)]
+    df = spark.createDataFrame(rows, "n int, word string, day date")
+    weeks = [df.filter(F.pmod(F.hash("n"), F.lit(3)) == k) for k in range(3)]
+    merged = ops.read_profile(ops.merge_profiles(*map(ops.profile_sketches, weeks)))
+    found = {r.Column: r for r in merged.collect()}
+    whole = {r.Column: r for r in ops.read_profile(ops.profile_sketches(df)).collect()}
+    for name, r in found.items():
+        assert (r.Rows, r.Nulls, r.Distinct_Values) == (40_000, whole[name].Nulls, whole[name].Distinct_Values)
+    assert found["word"].Nulls == sum(w is None for _, w, _ in rows)
+    assert (found["day"].Lowest, found["day"].Highest, found["day"].Distinct_Values) == ("2019-01-01", "2019-01-28", 28)
+    true = len({n for n, _, _ in rows})
+    assert abs(found["n"].Distinct_Values - true) <= 0.05 * true  # three standard errors of a sketch of 2^12
+    counts = Counter(w for _, w, _ in rows)
+    assert {(f["item"], f["count"]) for f in found["word"].Frequent_Values} == set(counts.items())
+
+
+def test_profile_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "n int, word string")
+    assert [(r.Column, r.Rows, r.Nulls, r.Lowest, r.Distinct_Values) for r in ops.read_profile(ops.profile_sketches(df)).collect()] == [
+        ("n", 0, 0, None, 0), ("word", 0, 0, None, 0)]
