@@ -337,6 +337,21 @@ def oracle_sql() -> dict[str, str]:
                  "Vertical_Manager_Alias"),
                 ("sellers", "fx_sellers", "Store_ID General_Seller Services_Seller Product_Seller"))
             for c in columns.split())),
+        "data_quality": _select(" union all ".join(
+            f"select '{table}' as \"Table\", '{check}' as \"Check\", count(*) as \"Rows\" from {part} where {failed}"
+            for table, part, checks in (
+                ("revenue", "fx_revenue", {"Rows": "true", "Undated": "Month is null",
+                 "Outside_Calendar": "Month < date '1995-01-01' or Month > date '2002-06-30'",
+                 "Unknown_Type": "Revenue_Type is null or Revenue_Type not in ('Actuals', 'Partner Fee', 'Registration Fee')"}),
+                ("opportunities", "fx_opps_all", {"Rows": "true", "Undated": "Opportunity_Est_Date is null",
+                 "Outside_Calendar": "Opportunity_Est_Date < date '1995-01-01' or Opportunity_Est_Date > date '2002-06-30'",
+                 "No_Product": "Product is null or Product = 'Null'",
+                 "Unreadable_Usage": f"Opportunity_Usage is not null and {_usage('Opportunity_Usage')} is null"}),
+                ("targets", "fx_targets", {"Rows": "true", "Undated": "Fiscal_Month is null",
+                 "Outside_Calendar": "Fiscal_Month < date '1995-01-01' or Fiscal_Month > date '2002-06-30'"}),
+                ("stores", "fx_stores", {"Rows": "true", "No_Account": "AccountNo is null"}),
+                ("sellers", "fx_sellers", {"Rows": "true", "No_Account": "Store_ID is null"}))
+            for check, failed in checks.items())),
         "scan_weeks": _select(
             "select * replace (cast(Opportunity_Est_Date as varchar) as Opportunity_Est_Date), cast(24 as integer) as Snapshot_Week "
             "from fx_opps_before union all "
