@@ -7,8 +7,9 @@ documents, which are verified on their full shingle sets.
 
 Defined cases: words in any case are told apart by fingerprints, but not by ``similar``; NULL texts are empty; an empty text
 has no shingles and a fingerprint of its own; a text of fewer words than a shingle is one shingle; equal texts have equal
-fingerprints; an empty table gives no rows. In the order of documents, rows that share a doc_id go by text, and NULL ids come
-last; the last is followed by the first.
+fingerprints; an empty table gives no rows. In the order of documents, rows that share a doc_id go by the first bytes of their
+text, then by its hash, and NULL ids come last; the last is followed by the first. Ids that hold many rows, and equal rows, are
+divided among ranges (``ranges``).
 """
 
 from __future__ import annotations
@@ -17,19 +18,19 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import mix64, odd_constants, pieces, shingle_hashes, text_of, word_hashes
 from ledgerline.llm.minhash import labelled, sketched
+from ledgerline.llm.ranges import in_ranges, number_key, text_key
 
 COORDINATES = 128
 BANDS, ROWS = 32, 4
 PERCENT = 80
-# Ranges of doc_id that are streamed through one after the other: bounded, whatever the table.
-ROWS_IN_RANGE, LEAST_RANGES, MOST_RANGES = 2_000, 64, 10_000
+# Bytes of a range of documents, which one task streams through.
+RANGE_BYTES = 32 << 20
 STREAMED_BYTES = 1 << 18
 
 
@@ -70,34 +71,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - quarter] + following[:quarter]
 
 
-def in_ranges(documents: DataFrame) -> DataFrame:
-    """``range``, ``ahead``, ``doc_id``, ``text``: documents by ranges of doc_id, which begin at ids of the table.
-
-    Each range also has, with ``ahead`` = 1, the document that follows its last one; the last range the first of all.
-    """
-    documents = documents.select("doc_id", text_of().alias("text"))
-    rows = documents.count()
-    n = int(min(max(rows // ROWS_IN_RANGE, LEAST_RANGES), MOST_RANGES))
-    stats = documents.agg(
-        F.min("doc_id").alias("low"), F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("cuts")).first()
-    cuts = sorted(set(stats.cuts or []))
-    edges = np.array(cuts, np.int64)
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        found = np.full(len(ids), len(edges), np.int32)
-        there = ids.notna().to_numpy()
-        found[there] = np.searchsorted(edges, ids[there].to_numpy().astype(np.int64), side="right")
-        return pd.Series(found)
-
-    own = documents.select(range_of("doc_id").alias("range"), F.lit(0).alias("ahead"), "doc_id", "text")
-    firsts = documents.filter(F.col("doc_id").isin(cuts))
-    ahead = firsts.select((range_of("doc_id") - 1).alias("range"), F.lit(1).alias("ahead"), "doc_id", "text")
-    first = documents.filter(F.col("doc_id").eqNullSafe(F.lit(stats.low).cast("long"))).orderBy("text").limit(1)
-    around = first.select(
-        F.lit(len(cuts)).alias("range"), F.lit(2).alias("ahead"), "doc_id", "text")
-    every = own.unionByName(ahead).unionByName(around).repartition("range")
-    return every.sortWithinPartitions("range", "ahead", F.col("doc_id").asc_nulls_last(), "text")
+def in_order(documents: DataFrame) -> DataFrame:
+    """``range``, ``ahead``, ``doc_id``, ``text``: documents by ranges, each with the document that follows its last one."""
+    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn(
+        "key", F.concat(number_key("doc_id", nulls_last=True), text_key(F.col("text"))))
+    return in_ranges(keyed, "text", RANGE_BYTES, followed=True).select("range", "ahead", "doc_id", "text")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +109,7 @@ def _finished(rows: list[tuple], following: list[tuple | None]) -> pa.RecordBatc
 
 def compared(documents: DataFrame) -> DataFrame:
     """A row for each document: its fingerprint, that of its edited text, and their likeness to it and the next document's."""
-    return in_ranges(documents).mapInArrow(
+    return in_order(documents).mapInArrow(
         _compared, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
                    "near_edited double, near_next double")
 
