@@ -4,13 +4,14 @@ A state is a role and whether a line begins a turn or goes on with it. A line sh
 whether it asks. Initial, transition and emission probabilities are counted, in Spark, over conversations whose roles are known
 and whose crc32 is not 2 mod 4. Viterbi finds the likeliest states of a whole conversation.
 
-A conversation may be longer than a task should hold. It is cut into blocks of ``BLOCK`` turn numbers. Each block first becomes a
-matrix, the best log probability from every state before it to every state at its end; a pass over the matrices of a conversation
-picks the states between the blocks; then each block finds its own path between them. The result is that of one Viterbi pass.
+A conversation may be longer than a task should hold. Turns are dealt, in order, to ranges of bounded size (``ranges``), and of
+the conversations in a range only its first and its last can go on in others. Each of these two parts first becomes a matrix, the
+best log probability from the start, and from every state before it, to every state at its end; a pass over the matrices of a
+conversation picks the states between its parts; then every range finds its own paths. The result is that of one Viterbi pass.
 
 Defined cases: a NULL text is an empty line; a NULL role leaves no marker and teaches nothing; a NULL turn comes first; rows
-without a conv_id are one conversation; rows of the same turn go by text, equal rows are equal lines said again; an empty table
-gives no rows; without any known roles all probabilities are even.
+without a conv_id are one conversation; rows of the same turn go by the first bytes of their text, then by its hash; equal rows are
+equal lines said again; an empty table gives no rows; without any known roles all probabilities are even.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.common import cut
+from ledgerline.llm.ranges import in_ranges, number_key, text_key
 
 ROLES = ("system", "user", "assistant")
 # What transcripts call the roles.
@@ -35,7 +37,8 @@ STATES = [(role, begins) for role in ROLES for begins in (True, False)]
 LENGTHS = 12
 KINDS = {"start": 1, "next": len(STATES), "marker": len(ROLES) + 1, "length": LENGTHS, "asks": 2}
 FOLDS, HELD_OUT = 4, 2
-BLOCK = 256
+# Bytes of a range of turns: a task holds the paths through one.
+RANGE_BYTES = 8 << 20
 # Counts added to each possibility that the states allow.
 SMOOTHING = 0.5
 NEVER = -1e9
@@ -119,31 +122,30 @@ def _emissions(lines: list[str], model: dict[str, np.ndarray]) -> np.ndarray:
     return model["marker"][:, marker].T + model["length"][:, length].T + model["asks"][:, asks].T
 
 
-def _ordered(turns: list[dict]) -> list[tuple[int, str]]:
-    """The lines of a block, each with the place of its turn."""
-    return [(i, line) for i, turn in enumerate(turns) for line in turn["said"].split("\n")]
+def _lines(said: list[str]) -> list[str]:
+    return [line for text in said for line in text.split("\n")]
 
 
-def _matrix(lines: list[str], model: dict[str, np.ndarray], first: bool) -> np.ndarray:
-    """From each state before (all alike at the start) to each state at the end, the best log probability."""
+def _matrix(lines: list[str], model: dict[str, np.ndarray]) -> np.ndarray:
+    """From the start (row 0) and from each state before (the others) to each state at the end, the best log probability."""
     emitted = _emissions(lines, model)
-    steps = np.broadcast_to(model["start"], model["next"].shape) if first else model["next"]
-    best = steps + emitted[0]
+    best = np.concatenate([model["start"], model["next"]]) + emitted[0]
     for row in emitted[1:]:
         best = (best[:, :, None] + model["next"][None]).max(axis=1) + row
     return best
 
 
-def _path(lines: list[str], model: dict[str, np.ndarray], entry: int | None, end: int) -> list[int]:
+def _path(lines: list[str], model: dict[str, np.ndarray], entry: int | None = None, end: int | None = None) -> list[int]:
+    """The likeliest states of lines, from the start or after a state, up to a given state or the best one."""
     emitted = _emissions(lines, model)
     best = (model["start"][0] if entry is None else model["next"][entry]) + emitted[0]
-    came = []
-    for row in emitted[1:]:
+    came = np.zeros(emitted.shape, np.int8)
+    for k, row in enumerate(emitted[1:], start=1):
         ways = best[:, None] + model["next"]
-        came.append(ways.argmax(axis=0))
+        came[k] = ways.argmax(axis=0)
         best = ways.max(axis=0) + row
-    states = [end]
-    for back in reversed(came):
+    states = [int(best.argmax()) if end is None else end]
+    for back in came[:0:-1]:
         states.append(int(back[states[-1]]))
     return states[::-1]
 
@@ -152,7 +154,7 @@ def _between(matrices: list[np.ndarray]) -> list[tuple[int | None, int]]:
     """Of each block the state before it and at its end, on the best path through all."""
     best, came = matrices[0][0], []
     for matrix in matrices[1:]:
-        ways = best[:, None] + matrix
+        ways = best[:, None] + matrix[1:]
         came.append(ways.argmax(axis=0))
         best = ways.max(axis=0)
     ends = [int(best.argmax())]
@@ -168,63 +170,83 @@ def rendered_line(line: str, state: int, is_first: bool, is_last: bool) -> str:
     return out + ("<|end|>\n" if is_last else "")
 
 
+def _parts(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The rows of one conversation after the other, of rows in order; the conversation is the first of the names."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(name).to_pylist() for name in names), strict=True):
+            if held and held[0][0] != row[0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _found(part: list[tuple], model: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Of rows of (conversation, turn, role, said, entry, end, begins, closes) the states, and what they render to."""
+    conv, *_, entry, end, begins, closes = part[0]
+    states = iter(_path(_lines([row[3] for row in part]), model, entry, end))
+    out = []
+    for i, (_, turn, role, said, *_) in enumerate(part):
+        lines = said.split("\n")
+        own = [next(states) for _ in lines]
+        marks = "".join(STATES[k][0][0].upper() if STATES[k][1] else STATES[k][0][0] for k in own)
+        text = "".join(
+            rendered_line(line, k, begins and i == j == 0, closes and i == len(part) - 1 and j == len(lines) - 1)
+            for j, (line, k) in enumerate(zip(lines, own, strict=True)))
+        out.append((conv, turn, role, len(lines), marks, text))
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)],
+                                      ["conv_id", "turn", "role", "n_lines", "states", "rendered"])
+
+
 def recovered(turns: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """Of each turn ``conv_id``, ``turn``, ``role``, ``n_lines``, the ``states`` found for its lines, and its ``rendered`` part.
 
     The parts of a conversation, in order, are its rendering. ``states`` has a letter for each line: of the role, a capital where
     a turn begins.
     """
-    s = len(STATES)
-    block = F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / BLOCK)
-    said = F.sort_array(F.collect_list(F.struct("turn", "said", "role")))
-    blocks = cut(turns.groupBy("conv_id", block.alias("block")).agg(said.alias("turns")))
-    bounds = blocks.groupBy("conv_id").agg(F.min("block").alias("low"), F.max("block").alias("high"))
-    bounds = bounds.withColumnRenamed("conv_id", "of")
-    blocks = cut(blocks.join(bounds, F.col("conv_id").eqNullSafe(F.col("of"))).drop("of"))
+    shape = (1 + len(STATES), len(STATES))
+    key = F.concat(number_key("conv_id", nulls_last=False), number_key("turn", nulls_last=False), text_key(F.col("said"), F.col("role")))
+    typed = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "said")
+    ordered = cut(in_ranges(typed.withColumn("key", key), "said", RANGE_BYTES).select("range", "conv_id", "turn", "role", "said"))
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = [
-                _matrix([line for _, line in _ordered(own)], model, number == low).ravel()
-                for number, low, own in zip(*(batch.column(c).to_pylist() for c in ("block", "low", "turns")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id").cast(pa.int64()), batch.column("block"),
-                                              pa.array(flat, pa.list_(pa.float64()))], ["conv_id", "block", "matrix"])
+        first = last = None
+        for part in _parts(batches, ("conv_id", "range", "said")):
+            first, last = first or part, part
+        ends = [] if first is None else [first] if first is last else [first, last]
+        flat = [_matrix(_lines([row[2] for row in part]), model).ravel() for part in ends]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part[0][0] for part in ends], pa.int64()), pa.array([part[0][1] for part in ends], pa.int32()),
+             pa.array(flat, pa.list_(pa.float64()))], ["conv_id", "range", "matrix"])
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
+            out: list[tuple] = []
             for conv, parts in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "parts")), strict=True):
-                found = _between([np.array(part["matrix"]).reshape(s, s) for part in parts])
-                for part, (entry, end) in zip(parts, found, strict=True):
-                    for column, value in zip(out, (conv, part["block"], entry, end), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["of", "of_block", "entry", "end"])
+                found = _between([np.array(part["matrix"]).reshape(shape) for part in parts])
+                out += [(conv, part["range"], entry, end, k == 0, k == len(parts) - 1)
+                        for k, (part, (entry, end)) in enumerate(zip(parts, found, strict=True))]
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                                             ["of", "of_range", "entry", "end", "begins", "closes"])
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("conv_id", "block", "low", "high", "turns", "entry", "end")
-        for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for conv, number, low, high, own, entry, end in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                lines = _ordered(own)
-                states = _path([line for _, line in lines], model, entry, end)
-                marks, parts, n_lines = [""] * len(own), [""] * len(own), [0] * len(own)
-                for k, ((place, line), state) in enumerate(zip(lines, states, strict=True)):
-                    role, begins = STATES[state]
-                    marks[place] += role[0].upper() if begins else role[0]
-                    n_lines[place] += 1
-                    parts[place] += rendered_line(line, state, number == low and k == 0, number == high and k == len(lines) - 1)
-                for turn, mark, part, count in zip(own, marks, parts, n_lines, strict=True):
-                    for column, value in zip(out, (conv, turn["turn"], turn["role"], count, mark, part), strict=True):
-                        column.append(value)
-            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)],
-                                             ["conv_id", "turn", "role", "n_lines", "states", "rendered"])
-
-    reduced = blocks.select("conv_id", "block", "low", "turns").mapInArrow(matrices, "conv_id long, block long, matrix array<double>")
-    gathered = reduced.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "matrix"))).alias("parts"))
-    between = gathered.mapInArrow(ends, "of long, of_block long, entry long, end long")
-    joined = blocks.join(between, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block")))
-    return joined.select("conv_id", "block", "low", "high", "turns", "entry", "end").mapInArrow(
+        for part in _parts(batches, ("conv_id", "turn", "role", "said", "entry", "end", "begins", "closes")):
+            yield _found(part, model)
+
+    reduced = ordered.select("conv_id", "range", "said").mapInArrow(matrices, "conv_id long, range int, matrix array<double>")
+    # Two rows for a range at most, of some hundred bytes; a conversation has one for each range that it is in.
+    gathered = reduced.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("range", "matrix"))).alias("parts"))
+    between = gathered.mapInArrow(ends, "of long, of_range int, entry long, end long, begins boolean, closes boolean")
+    # Broadcast, as the rows must stay in order: two short rows for a range at most, so a fixed small share of the input's bytes.
+    joined = ordered.join(F.broadcast(between), F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("range") == F.col("of_range")), "left")
+    whole = F.lit(True)
+    return joined.select("conv_id", "turn", "role", "said", "entry", "end", F.coalesce("begins", whole).alias("begins"),
+                         F.coalesce("closes", whole).alias("closes")).mapInArrow(
         paths, "conv_id long, turn long, role string, n_lines long, states string, rendered string")
 
 

@@ -20,6 +20,7 @@ from ledgerline.llm import (
     mixing,
     quality_model,
     quality_rules,
+    ranges,
     sharding,
 )
 from ledgerline.llm.common import ship
@@ -269,7 +270,7 @@ def test_conversations_in_blocks_and_odd_rows(spark, odd, monkeypatch):
     talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     pick = lambda: sorted(map(repr, chat.formatted(talks).select("conv_id", "turn", "states", "rendered").collect()))
     whole = pick()
-    monkeypatch.setattr(chat, "BLOCK", 3)
+    monkeypatch.setattr(ranges, "LEAST_ROWS", 3)
     assert pick() == whole and len(whole) == len(rows)
     assert chat.marker_of("### Assistant: yes") == ("assistant", "yes") and chat.marker_of("users: x")[0] is None
 
