@@ -1,6 +1,6 @@
 from ledgerline.sources.calendars import fiscal_calendar, small_calendar
 from ledgerline.sources.catalog import ignoring_case, read_tables, tables_from_catalog
-from ledgerline.sources.sinks import save_summary, write_summary
+from ledgerline.sources.sinks import save_summary, update_summary, write_summary
 from ledgerline.sources.snapshots import (
     previous_week,
     read_snapshots,
@@ -25,6 +25,7 @@ __all__ = [
     "snapshots_from_catalog",
     "tables_from_catalog",
     "tables_from_tpch",
+    "update_summary",
     "weekly_snapshots",
     "write_summary",
     "write_week",
