@@ -30,11 +30,12 @@ from ledgerline.operators.revenue import (
     revenue_monthly,
     split_measures,
 )
+from ledgerline.operators.rules import categorize_by_rules
 from ledgerline.operators.targets import align_targets, rename_targets
 
 __all__ = [
     "accepted_amounts", "add_lookups", "align_revenue", "align_targets", "anchor_month", "baseline", "baseline_average",
-    "bucket_category", "clean_opportunities", "distinct_values", "expand_copies", "extrapolate",
+    "bucket_category", "categorize_by_rules", "clean_opportunities", "distinct_values", "expand_copies", "extrapolate",
     "future_months", "future_opportunities", "live_opportunities", "merge_facts", "one_row_per_key",
     "merge_profiles", "opportunity_detail", "opportunity_monthly", "peek", "profile_sketches", "read_profile", "rejected_amounts", "rename_revenue", "rename_targets", "revenue_lines", "sample_rows",
     "revenue_monthly", "split_measures", "spread_runrate",

@@ -368,6 +368,7 @@ def oracle_sql() -> dict[str, str]:
         "revenue_renamed": _all("renamed", "Revenue", "Fiscal_Month"),
         "revenue_measures": _all("split", _REV, "Fiscal_Month"),
         "revenue_categorized": _all("categorized", _REV, "Fiscal_Month"),
+        "revenue_categorized_by_rules": _all("categorized", _REV, "Fiscal_Month"),
         "revenue_monthly": _all("rev_monthly", _REV, "Fiscal_Month"),
         "opportunities_clean": _all("opps_clean_all", dates="Opportunity_Est_Date"),
         "opportunity_monthly": _all("opp_monthly", "Opportunity_Usage"),
