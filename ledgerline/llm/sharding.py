@@ -7,6 +7,10 @@ A range that holds the end of a shard is overfull: it is sampled and split again
 until a splitter comes within ``TOLERANCE`` of the end, or at most ``FEW`` items are left around it. These are looked at one by
 one; an end within an item divides its equal rows by number. So every end is within ``TOLERANCE`` of a shard, or half a record.
 
+Records and items are a few numbers each. Once written they are read in tasks of about ``ROWS_IN_TASK``, however many files or
+shuffle partitions there are: the rounds are many small jobs, whose time is that of starting tasks. So is that of a round's sample,
+which goes to one task.
+
 Equal rows are numbered, and slots given, by cells: rows are counted by cell, and numbered within one. A cell is chosen by the
 hash of the record, and for a key of more than ``HEAVY`` rows by a number of the row instead, which spreads them over all cells.
 
@@ -32,6 +36,7 @@ FEW = 1024
 # Each round leaves about a sixteenth of a range: this many are never needed, and more are an error.
 MOST_ROUNDS = 64
 ROWS_IN_CELL = 100_000
+ROWS_IN_TASK = 100_000
 LEAST_CELLS = 64
 HEAVY = 1000
 
@@ -79,6 +84,7 @@ def _splitters(items: DataFrame, cuts: list[Key], wanted: dict[int, int], by_rec
         .filter(chance < F.col("size") * F.col("rate"))
         .select("place", "k1", "k2", F.greatest(F.col("size").cast("double"), 1 / F.col("rate")).alias("weight"))
     )
+    drawn = drawn.repartition(1)  # SAMPLES at most, as expected
     order = W.partitionBy("place").orderBy("k1", "k2")
     share = F.sum("weight").over(order) / F.sum("weight").over(W.partitionBy("place"))
     ranked = drawn.withColumn("step", F.floor(share * SPLITS))
@@ -168,7 +174,7 @@ def _numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> Da
     """``rows`` with a number from 0 without gaps in ``name``, by ``by``: counted by their ``cell``, and numbered within it."""
     counts = rows.groupBy(*by, "cell").agg(F.count("*").alias("n"))
     offset = F.sum("n").over(W.partitionBy(*by).orderBy("cell")) - F.col("n")
-    offsets = sized(cut(counts.select(*by, "cell", offset.alias("offset"))))
+    offsets = sized(cut(counts.select(*by, "cell", offset.alias("offset")).coalesce(1)))  # a row for each cell
     within = F.row_number().over(W.partitionBy(*by, "cell").orderBy(*order)) - 1
     return (
         rows.withColumn("within", within).join(offsets, [*by, "cell"])
@@ -197,8 +203,11 @@ def placed(records: DataFrame, ends: list[End]) -> DataFrame:
 def sharded(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     """A row for each document: ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``."""
     records = cut(keyed(documents))
-    items = cut(items_of(records))
-    cells = max(LEAST_CELLS, records.count() // shards // ROWS_IN_CELL)
+    rows = records.count()
+    tasks = max(1, -(-rows // ROWS_IN_TASK))
+    records = records.coalesce(tasks)
+    items = cut(items_of(records)).coalesce(tasks)
+    cells = max(LEAST_CELLS, rows // shards // ROWS_IN_CELL)
     heavy = sized(cut(items.filter(F.col("rows") > HEAVY).select("k1", "k2", F.lit(True).alias("heavy"))))
     spread = F.when(F.col("heavy"), F.col("row")).otherwise(F.xxhash64("k2", F.lit("cell")))
     celled = records.join(heavy, ["k1", "k2"], "left").withColumn("cell", F.pmod(spread, F.lit(cells))).drop("heavy")

@@ -90,3 +90,23 @@ def test_reruns_agree_and_the_tables_hold_the_law(spark):
 def test_fewer_records_than_shards(spark):
     rows = sharding.sharded(frame(spark, [(1, "a"), (2, "b")])).collect()
     assert len({(r.shard, r.slot) for r in rows}) == 2 and sharding.sharded(frame(spark, [])).count() == 0
+
+
+def test_tasks_go_with_the_rows_not_with_the_partitions(spark):
+    """Where adaptive execution merges no partitions, the small jobs of the rounds do not start all of them each time."""
+    settings = {"spark.sql.shuffle.partitions": "101", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    documents, old = frame(spark, EQUAL + OWN).repartition(101), {name: spark.conf.get(name) for name in settings}
+    context = spark.sparkContext
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        context.setJobGroup("few_tasks", "")
+        rows = sharding.sharded(documents).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for name, value in old.items():
+            spark.conf.set(name, value)
+    told = context.statusTracker()
+    stages = {s for job in told.getJobIdsForGroup("few_tasks") for s in told.getJobInfo(job).stageIds}
+    started = sum(info.numCompletedTasks for s in stages if (info := told.getStageInfo(s)))
+    assert len(held(rows)) == 8 and 101 < started < 6 * 101
