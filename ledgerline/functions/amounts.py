@@ -8,13 +8,14 @@ from ledgerline.schemas import MONEY
 
 
 def _number(text: Column | str, to: T.DataType) -> Column:
+    # A text may be costly to make, and a filter makes it wherever it is named: that of a number is needed once.
     plain = F.trim(F.replace(text, F.lit(","), F.lit("")))
-    return F.when(plain == "", F.lit(0).cast(to)).otherwise(plain.try_cast(to))
+    return F.coalesce(plain.try_cast(to), F.when(plain == "", F.lit(0).cast(to)))
 
 
 def is_amount(text: Column | str, to: T.DataType = MONEY) -> Column:
     """Whether ``parse_amount`` can read the text; NULL and blank text it can."""
-    return F.isnull(text) | _number(text, to).isNotNull()
+    return _number(text, to).isNotNull() | F.isnull(text)
 
 
 def parse_amount(text: Column | str, to: T.DataType = MONEY) -> Column:
@@ -25,9 +26,8 @@ def parse_amount(text: Column | str, to: T.DataType = MONEY) -> Column:
     are rounded.
     """
     text = F.col(text) if isinstance(text, str) else text
-    number = _number(text, to)
     wrong = F.raise_error(F.concat(F.lit("not an amount: "), text)).cast(to)
-    return F.when(F.isnull(text) | number.isNotNull(), number).otherwise(wrong)
+    return F.coalesce(_number(text, to), F.when(F.isnotnull(text), wrong))
 
 
 def zero_if_negative(amount: Column) -> Column:

@@ -191,6 +191,19 @@ def _or_zero(df: DataFrame, measures: Sequence[str]) -> list[Column]:
     return [F.coalesce(m, F.lit(0).cast(df.schema[m].dataType)).alias(m) for m in measures]
 
 
+def _by_key(stacked: DataFrame, *totals: Column) -> DataFrame:
+    """``totals`` by key, in one shuffle, by account, and one sort.
+
+    Hardly any two rows share a key by now. Summed in hash tables, one for the partial sums and one for the sums of these,
+    a task would hold nearly all its rows twice, and then sort them for the join with the account's attributes. As one
+    total is of text, which Spark keeps in no hash table, it sorts the rows by key instead, once for all three; and a sort
+    spills where the memory does not suffice.
+    """
+    category = F.max("_category").alias("Product_Category")
+    keyed = stacked.withColumnRenamed("Product_Category", "_category").repartition("Account_No")
+    return keyed.groupBy("Account_No", "Fiscal_Month", "_category", "_apart").agg(category, *totals)
+
+
 def all_facts(tables: Tables) -> DataFrame:
     """Revenue, pipeline, baseline, targets and run-rate, one row per key."""
     return facts_and_anchor(tables)[0]
@@ -207,7 +220,7 @@ def facts_and_anchor(tables: Tables, measures: Sequence[str] = MEASURES) -> tupl
     landed, anchor = _landed(tables, measures)
     targets = targets_of(tables).select("*", _apart(F.lit("targets")))
     stacked = landed.unionByName(targets, allowMissingColumns=True)
-    totals = stacked.repartition("Account_No").groupBy(*KEYS, "_apart").agg(*[F.sum(m).alias(m) for m in measures])
+    totals = _by_key(stacked, *[F.sum(m).alias(m) for m in measures])
     return totals.select(*KEYS, *_or_zero(totals, measures)), anchor
 
 

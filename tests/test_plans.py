@@ -89,3 +89,19 @@ def test_forecast_window_runs_over_month_totals(tiny):
     window = plan.index("Window [")
     assert re.search(r"HashAggregate\(keys=\[Fiscal_Month#\d+\], functions=\[sum", plan[window:])
     assert not re.search(r"HashAggregate\(keys=\[Fiscal_Month#\d+\]", plan[:window])
+
+
+@pytest.mark.parametrize("plan_of", [facts.all_facts, summaries.revenue_summary])
+def test_merged_facts_are_summed_by_one_sort(tiny, plan_of):
+    """After the shuffle by account no hash table holds the rows: they are sorted, once, for both sums and for the lookups."""
+    plan = [line for line in initial(plan_of(tiny)).split("\n") if "Subquery" not in line]
+    dealt = next(i for i, line in enumerate(plan) if "REPARTITION_BY_COL" in line)
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    above, at = [], depth[dealt]
+    for i in range(dealt - 1, -1, -1):
+        if depth[i] < at:
+            above.append(plan[i])
+            at = depth[i]
+    assert sum("SortAggregate" in line for line in above) == 2
+    assert not any("HashAggregate" in line for line in above)
+    assert sum(bool(re.search(r"\bSort \[", line)) for line in above) == 1
