@@ -82,3 +82,8 @@ def merge_facts(
 def expand_copies(df: DataFrame) -> DataFrame:
     """Each row as many times as its ``Copies`` say."""
     return df.withColumn(COPIES, F.explode(F.sequence(F.lit(1), F.col(COPIES)))).drop(COPIES)
+
+
+def fold_copies(df: DataFrame) -> DataFrame:
+    """Equal rows as one, with their number in ``Copies``, the last column."""
+    return df.groupBy(*[name for name in df.columns if name != COPIES]).agg(F.sum(COPIES).alias(COPIES))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.ranges import range_label
-from ledgerline.operators.keys import CORRECTED, check_mode
+from ledgerline.operators.keys import COPIES, CORRECTED, check_mode
 from ledgerline.operators.lookups import add_lookups
-from ledgerline.operators.merge import expand_copies
+from ledgerline.operators.merge import expand_copies, fold_copies
 from ledgerline.operators.opportunities import opportunity_detail
 from ledgerline.plans.facts import all_facts, all_facts_as_written
 from ledgerline.schemas import Tables
@@ -21,12 +21,17 @@ def with_lookups(df: DataFrame, tables: Tables) -> DataFrame:
 def revenue_summary(tables: Tables, mode: str = CORRECTED, expand: bool = True) -> DataFrame:
     """All facts by account, month and category, with the attributes of month and account: 24 columns.
 
-    In mode ``as_written``, ``expand=False`` leaves repeated rows folded, with their number in ``Copies``.
+    In mode ``as_written``, ``expand=False`` gives distinct rows, with their number in ``Copies``, the last column. The facts
+    are folded, not the summary: a month and an account have one row of attributes, so facts that differ still do with them.
+    They are folded by account, as the lookups want them.
     """
     if not check_mode(mode):
         return with_lookups(all_facts(tables), tables)
-    folded = with_lookups(all_facts_as_written(tables), tables)
-    return expand_copies(folded) if expand else folded
+    facts = all_facts_as_written(tables)
+    if expand:
+        return expand_copies(with_lookups(facts, tables))
+    folded = with_lookups(fold_copies(facts.repartition("Account_No")), tables)
+    return folded.select(*[c for c in folded.columns if c != COPIES], COPIES)
 
 
 def with_ranges(detail: DataFrame) -> DataFrame:

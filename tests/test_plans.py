@@ -105,3 +105,9 @@ def test_merged_facts_are_summed_by_one_sort(tiny, plan_of):
     assert sum("SortAggregate" in line for line in above) == 2
     assert not any("HashAggregate" in line for line in above)
     assert sum(bool(re.search(r"\bSort \[", line)) for line in above) == 1
+
+
+def test_the_summary_as_written_is_folded_before_its_attributes_are_joined(spark):
+    plan = initial(entry_point.queries()["revenue_summary_as_written"](spark, str(TESTDATA / "sf0.001")))
+    keys = re.findall(r"Aggregate\(keys=\[(.*?)\], functions", plan)
+    assert any("Registration_Fee" in k for k in keys) and not any("Fiscal_Quarter" in k and "Revenue" in k for k in keys)
