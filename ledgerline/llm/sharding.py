@@ -3,9 +3,11 @@
 Records are ordered by a key, the hash of the text and then that of the doc_id, so copies of a text lie together. Records of one
 key are equal rows; they are first summed to one item with their number and bytes. Splitters are quantiles of a sample of items in
 which an item's chance grows with its bytes. Items are put into the ranges between splitters, whose exact bytes are then summed.
-A range that holds the end of a shard is overfull: it is sampled and split again, first between texts, then between records,
-until a splitter comes within ``TOLERANCE`` of the end, or at most ``FEW`` items are left around it. These are looked at one by
-one; an end within an item divides its equal rows by number. So every end is within ``TOLERANCE`` of a shard, or half a record.
+A range that holds the end of a shard is overfull: it is sampled and split again, between texts, or between records where it is
+of one text, until a splitter comes within ``TOLERANCE`` of the end, or at most ``FEW`` items are left around it. These are looked
+at one by one; an end within an item divides its equal rows by number. So every end is within ``TOLERANCE`` of a shard, or half a
+record. A text or record that takes several of the quantiles is split off on both sides: a range with what follows it would
+hardly shrink.
 
 Records and items are a few numbers each. Once written they are read in tasks of about ``ROWS_IN_TASK``, however many files or
 shuffle partitions there are: the rounds are many small jobs, whose time is that of starting tasks. So is that of a round's sample,
@@ -21,6 +23,8 @@ there are fewer records than shards; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,7 +37,8 @@ TOLERANCE = 0.002
 SAMPLES = 4096
 SPLITS = 16
 FEW = 1024
-# Each round leaves about a sixteenth of a range: this many are never needed, and more are an error.
+# Each round leaves at most about three sixteenths of a range, or one text or record: this many are never needed, and more are
+# an error.
 MOST_ROUNDS = 64
 ROWS_IN_CELL = 100_000
 ROWS_IN_TASK = 100_000
@@ -72,8 +77,17 @@ def range_of(cuts: list[Key], low: int = 0) -> Column:
     return F.when(_reaches(cuts[middle]), range_of(cuts[middle + 1 :], low + middle + 1)).otherwise(range_of(cuts[:middle], low))
 
 
+def _after(key: Key, by_record: bool) -> Key:
+    """The least key after a record, or after all of its text."""
+    first, second = key
+    if by_record and second < HIGHEST[1]:
+        return first, second + 1
+    return (first + 1, LOWEST) if first < HIGHEST[0] else HIGHEST
+
+
 def _splitters(items: DataFrame, cuts: list[Key], wanted: dict[int, int], by_record: set[int], seed: int) -> set[Key]:
-    """Quantiles of a sample of each wanted range (number: bytes): between texts, or between records where in ``by_record``."""
+    """Quantiles of a sample of each wanted range (number: bytes): between texts, or between records where in ``by_record``.
+    Where several quantiles are of one text or record, also where it ends."""
     each = SAMPLES // len(wanted)
     rate = F
     for number, total in wanted.items():
@@ -89,14 +103,23 @@ def _splitters(items: DataFrame, cuts: list[Key], wanted: dict[int, int], by_rec
     share = F.sum("weight").over(order) / F.sum("weight").over(W.partitionBy("place"))
     ranked = drawn.withColumn("step", F.floor(share * SPLITS))
     ranked = ranked.withColumn("before", F.lag("step", 1, 0).over(order))
-    found = ranked.filter("step > before").select("place", "k1", "k2").distinct().collect()
-    return {(row.k1, row.k2 if row.place in by_record else LOWEST) for row in found}
+    found = ranked.filter("step > before").select("place", "k1", "k2", (F.col("step") - F.col("before")).alias("steps")).collect()
+    steps: Counter[tuple[Key, bool]] = Counter()
+    for row in found:
+        in_text = row.place in by_record
+        steps[(row.k1, row.k2 if in_text else LOWEST), in_text] += row.steps
+    return {key for key, _ in steps} | {_after(*at) for at, taken in steps.items() if taken > 1}
 
 
 Span = tuple[tuple[Key, int], tuple[Key, int]]
 End = tuple[int, int, int]
 
 
+def _of_one_text(span: Span) -> bool:
+    (low, _), (high, _) = span
+    return high <= (low[0] + 1, LOWEST)
+
+
 def _end_among(items: list, before: int, goal: float) -> End:
     """The end nearest to ``goal``, in bytes, among sorted items that begin at ``before``: a key, and how many of its rows are
     left of the end."""
@@ -120,7 +143,6 @@ def shard_ends(items: DataFrame, shards: int = SHARDS) -> list[End]:
     around: list[Span] = [(((LOWEST, LOWEST), 0), (HIGHEST, whole.size))] * len(goals)
     between = dict.fromkeys(around, whole.items)
     ends: dict[int, End] = {}
-    by_record: set[Span] = set()
     for seed in range(MOST_ROUNDS):
         spans = sorted({around[i] for i in range(len(goals)) if i not in ends and between[around[i]] > FEW})
         if not spans:
@@ -128,7 +150,7 @@ def shard_ends(items: DataFrame, shards: int = SHARDS) -> list[End]:
         cuts = sorted({cut_at for span in spans for cut_at, _ in span})
         number_of = {span: cuts.index(span[0][0]) + 1 for span in spans}
         new = _splitters(items, cuts, {number_of[s]: s[1][1] - s[0][1] for s in spans},
-                         {number_of[s] for s in spans if s in by_record}, seed)
+                         {number_of[s] for s in spans if _of_one_text(s)}, seed)
         cuts = sorted(set(cuts) | new)
         sums = {row.place: row for row in items.groupBy(range_of(cuts).alias("place")).agg(
             F.sum("size").alias("size"), F.count("*").alias("items")).collect()}
@@ -150,8 +172,6 @@ def shard_ends(items: DataFrame, shards: int = SHARDS) -> list[End]:
             nearest = low if goal - low[1] <= high[1] - goal else high
             if abs(nearest[1] - goal) <= allowed:
                 ends[i] = (*nearest[0], 0)
-            elif around[i] == old:
-                by_record.add(old)
     else:
         raise RuntimeError(f"a shard's end was not found in {MOST_ROUNDS} rounds")
     few = {span for i, span in enumerate(around) if i not in ends}

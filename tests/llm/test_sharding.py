@@ -79,6 +79,34 @@ def test_ends_equal_brute_force(spark, monkeypatch, few):
         assert ends[-1] == pytest.approx(miss)
 
 
+def ended_nearest(rows, spread=0):
+    """Checks that each end is as near to its place as the order allows, give or take the tolerance."""
+    sizes, reached = held(rows), 0
+    total = sum(sizes.values())
+    for shard in range(1, 8):
+        reached += sizes[shard - 1]
+        assert abs(reached - shard * total / 8) <= max(sharding.TOLERANCE * total / 8, spread)
+
+
+COPIED = "one text that many documents share"
+
+
+@pytest.mark.parametrize("copies, others", [(4000, 6000), (2500, 40_000), (9000, 0)])
+def test_ends_among_copies_of_a_text_are_found(spark, copies, others):
+    """A text that holds most of a range beside others, which were cut off by one sampled text each round."""
+    texts = [COPIED] * copies + [f"text {i}" for i in range(others)]
+    rows = sharding.sharded(frame(spark, list(enumerate(texts)))).collect()
+    assert len({r.doc_id for r in rows}) == copies + others
+    ended_nearest(rows, spread=len(COPIED))
+
+
+def test_ends_among_equal_rows_between_copies_are_found(spark):
+    """A record of many equal rows, among records of the same text of which there are too many to be looked at one by one."""
+    rows = sharding.sharded(frame(spark, [(None, COPIED)] * 9000 + [(i, COPIED) for i in range(6000)] + OWN)).collect()
+    assert len(rows) == 21_000
+    ended_nearest(rows, spread=len(COPIED))
+
+
 def test_reruns_agree_and_the_tables_hold_the_law(spark):
     documents = spark.read.parquet(str(TESTDATA / "sf0.001/documents.parquet"))
     first = sorted(map(tuple, sharding.sharded(documents).select("doc_id", "shard", "slot").collect()))
